@@ -274,7 +274,11 @@ def histogram(
         return frame.withColumn("n", F.lit(0).cast("bigint"))
     numbered = data.select(
         *[
-            F.least(F.floor((col(c) - low) / ((high - low) / bins)), F.lit(bins - 1)).alias(c)
+            # least() skips NULL, so missing values are kept out of the last bin here.
+            F.when(
+                col(c).isNotNull(),
+                F.least(F.floor((col(c) - low) / ((high - low) / bins)), F.lit(bins - 1)),
+            ).alias(c)
             for c, (low, high) in spans.items()
         ]
     )

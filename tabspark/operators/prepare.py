@@ -6,7 +6,6 @@ a few numbers per column on the driver; code tables of many values stay distribu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabspark.functions.columns import as_double, col, denan, family, is_numeric, require_columns
+from tabspark.functions.columns import as_double, col, denan, family, require_columns
 from tabspark.functions.hashing import SLOTS, fine_slot, key_number, slot
 from tabspark.functions.numeric import sample_skewness
 from tabspark.operators.codes import CODE_BOUND, apply_codes, code_table
@@ -242,8 +241,10 @@ def with_stratified_split(
     ever sorted: counts per (class, slot) locate the slot where the quota ends,
     counts per fine slot the place inside it, and only the rows of that one cell
     (about one in 10^8 of a class) are ranked by key. ``label=None`` treats the table
-    as one class.
+    as one class; more than 50 classes are refused.
     """
+    if label is not None and _class_count(df, label) > STRATIFY_CLASSES:
+        raise ValueError(f"{label} has more than {STRATIFY_CLASSES} classes; use with_split")
     number = key_number(df, key)
     class_of = F.lit("all") if label is None else F.coalesce(col(label).cast("string"), F.lit(""))
     data = df.withColumn("__class", class_of)
@@ -285,6 +286,11 @@ def with_stratified_split(
     )
 
 
+def _class_count(df: DataFrame, label: str) -> int:
+    """Number of classes, counted no further than one above the limit."""
+    return len(df.select(col(label)).distinct().take(STRATIFY_CLASSES + 1))
+
+
 def _cut(counts: DataFrame, slot_name: str, quotas: DataFrame) -> DataFrame:
     """Per class: the slot in which the quota ends and how many of its rows still belong to it."""
     order = Window.partitionBy("__class").orderBy(slot_name)
@@ -354,8 +360,7 @@ def prepare(
     if target in kinds.get("text", []):
         raise ValueError(f"target {target} holds long texts")
     if stratify:
-        classes = df.select(col(target)).distinct().limit(STRATIFY_CLASSES + 1).count()
-        stratify = classes <= STRATIFY_CLASSES
+        stratify = _class_count(df, target) <= STRATIFY_CLASSES
     if stratify:
         split = with_stratified_split(df, key, target, test_size, seed)
     else:

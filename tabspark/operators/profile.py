@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.functions.columns import col, denan, family, is_numeric, numeric_columns
+from tabspark.functions.columns import col, denan, family, numeric_columns
 from tabspark.functions.numeric import percent, ratio
 from tabspark.operators.stats import attach, distinct_counts, exact_quantiles, per_column
 
