@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabspark.functions.scratch import materialise
 from tabspark.operators import explore as E
 from tabspark.operators import metrics as M
 from tabspark.operators import profile as P
@@ -38,13 +39,22 @@ def run_metrics(spark, sf):
     )
 
 
-def _diagnosis(spark, sf):
-    criteria = M.criteria_table(spark, "binary_classification", CRITERIA)
-    return D.diagnose(run_metrics(spark, sf), fold_scores(spark, sf), criteria)
+def saved_metrics(spark, sf):
+    """The metric table (runs x metrics rows), saved because rules read it several times."""
+    return materialise(run_metrics(spark, sf))
+
+
+def saved_scores(spark, sf):
+    return materialise(fold_scores(spark, sf))
+
+
+def _diagnosis(metrics, scores):
+    criteria = M.criteria_table(metrics.sparkSession, "binary_classification", CRITERIA)
+    return D.diagnose(metrics, scores, criteria)
 
 
 def diagnose_runs(spark, sf):
-    return _diagnosis(spark, sf).drop("recommendation")
+    return _diagnosis(saved_metrics(spark, sf), fold_scores(spark, sf)).drop("recommendation")
 
 
 def diagnose_regression(spark, sf):
@@ -54,8 +64,8 @@ def diagnose_regression(spark, sf):
 
 
 def run_verdict(spark, sf):
-    metrics = run_metrics(spark, sf)
-    return D.run_verdict(_diagnosis(spark, sf), metrics)
+    metrics = saved_metrics(spark, sf)
+    return D.run_verdict(_diagnosis(metrics, fold_scores(spark, sf)), metrics)
 
 
 def leakage_by_correlation(spark, sf):
@@ -85,11 +95,11 @@ def _review(spark, sf):
         F.count_if(F.col("split") == "test").alias("test_size"),
         F.lit(5).alias("n_features"),
     )
-    metrics = run_metrics(spark, sf)
+    metrics = saved_metrics(spark, sf)
     runs = metrics.select("run").distinct().unionByName(
         table(spark, sf, "region").select(F.col("r_name").alias("run"))
     )
-    scores = fold_scores(spark, sf).withColumn("model", F.concat("run", F.col("fold") % 2))
+    scores = saved_scores(spark, sf).withColumn("model", F.concat("run", F.col("fold") % 2))
     scores = scores.withColumn("model", F.when(F.col("run") == "perfect", "one").otherwise(F.col("model")))
     scored = scores.filter("run <> 'inverted'")
     return reduce(
@@ -108,7 +118,7 @@ def review_findings(spark, sf):
 
 
 def review_verdict(spark, sf):
-    findings = _review(spark, sf)
+    findings = materialise(_review(spark, sf))
     return V.review_verdict(findings, findings)
 
 
@@ -151,9 +161,10 @@ def tag_task_type_texts(spark, sf):
 
 def report_facts(spark, sf):
     profile = P.column_profile(table(spark, sf, "orders"))
-    metrics = run_metrics(spark, sf)
-    verdict = D.run_verdict(_diagnosis(spark, sf), metrics)
-    comparison = M.model_comparison(fold_scores(spark, sf).withColumnRenamed("run", "model"))
+    metrics, scores = saved_metrics(spark, sf), saved_scores(spark, sf)
+    diagnosis = _diagnosis(metrics, scores)
+    verdict = D.run_verdict(diagnosis, metrics)
+    comparison = M.model_comparison(scores.withColumnRenamed("run", "model"))
     criteria = M.criteria_table(spark, "binary_classification", CRITERIA)
     outliers = E.iqr_outliers(table(spark, sf, "events"), ["value"])
     four = "%.4f"
@@ -167,7 +178,7 @@ def report_facts(spark, sf):
         R.facts(outliers, "exploration", F.col("column"), "n_outliers", F.col("n_outliers")),
         R.facts(comparison, "modelling", F.col("model"), "cv_mean", F.format_string(four, F.col("cv_mean"))),
         R.facts(metrics, "evaluation", F.col("run"), F.col("metric"), F.format_string(four, F.col("value"))),
-        R.facts(_diagnosis(spark, sf), "diagnosis", F.col("run"), F.col("type"), F.col("severity")),
+        R.facts(diagnosis, "diagnosis", F.col("run"), F.col("type"), F.col("severity")),
     )
 
 
