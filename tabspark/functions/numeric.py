@@ -43,4 +43,9 @@ def pearson(x: Column, y: Column) -> Column:
     """
     xm, ym = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(xm) * F.stddev_pop(ym))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+    return clipped(value, -1.0, 1.0)
+
+
+def clipped(value: Column, low: float, high: float) -> Column:
+    """Limit a value to a range; NULL stays NULL (``least`` alone would skip it)."""
+    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tabspark.functions.columns import col, denan
 from tabspark.functions.hashing import SLOTS, key_number, slot
-from tabspark.functions.numeric import ratio, rounded
+from tabspark.functions.numeric import clipped, ratio, rounded
 from tabspark.operators.cumulative import SORT_BOUND, key_ranges, running_totals
 from tabspark.operators.explore import histogram
 
@@ -285,8 +285,9 @@ def log_loss(
 ) -> DataFrame:
     """``(by…, metric="log_loss", value)`` with probabilities clipped away from 0 and 1."""
     floor = PROBABILITY_FLOOR
-    p = F.greatest(F.lit(floor), F.least(F.lit(1.0 - floor), col(score).cast("double")))
+    p = clipped(F.nanvl(col(score).cast("double"), F.lit(None)), floor, 1.0 - floor)
     loss = -F.when(col(label) == F.lit(positive), F.ln(p)).otherwise(F.ln(1 - p))
+    # avg skips rows without a score
     return _long(df.groupBy(*by).agg(F.avg(loss).alias("log_loss")), by, ["log_loss"])
 
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabspark.functions.columns import col
-from tabspark.functions.numeric import rounded
 from tabspark.functions.scratch import materialise
 
 # Neighbours of the outlier factor and its guard against division by zero.
@@ -198,7 +197,7 @@ def local_outlier_factor(
     density = materialise(_density(near, near.groupBy("id").agg(F.max("distance").alias("reach"))))
     factors = _factor(near, density, density).join(base, "id").select("vector", "lof")
     rows = df.select(col(key), col(vector).cast("array<double>").alias("vector"))
-    return rows.join(factors, "vector").select(key, rounded(F.col("lof"), 6).alias("lof"))
+    return rows.join(factors, "vector").select(key, "lof")
 
 
 def novelty_factor(
@@ -214,7 +213,7 @@ def novelty_factor(
     found = materialise(_shares(nearest_neighbours(base, k, asked, pivots, block_rows), k, None))
     factors = _factor(found, density, _density(found, reach)).join(asked, "id").select("vector", "lof")
     rows = new.select(col(key), col(vector).cast("array<double>").alias("vector"))
-    return rows.join(factors, "vector").select(key, rounded(F.col("lof"), 6).alias("lof"))
+    return rows.join(factors, "vector").select(key, "lof")
 
 
 def _density(near: DataFrame, reach: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("table_queries", "explore_queries", "prepare_queries", "metric_queries", "rule_queries")
+MODULES = ("table_queries", "explore_queries", "prepare_queries", "metric_queries", "rule_queries", "model_queries")
 
 
 def _merged(attribute: str) -> dict:
