@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from tabspark.functions.columns import col, denan
 from tabspark.functions.hashing import SLOTS, key_number, slot
 from tabspark.functions.numeric import clipped, ratio, rounded
-from tabspark.operators.cumulative import SORT_BOUND, key_ranges, running_totals
+from tabspark.operators.cumulative import SORT_BOUND, ordered_by, running_totals
 from tabspark.operators.explore import histogram
 
 # Default success criteria by task type, metrics where lower is better,
@@ -214,18 +214,18 @@ def worst_class(
     )
 
 
-def _by_score(df: DataFrame, by: list[str], label: str, score: str, positive: object) -> DataFrame:
+def _by_score(
+    df: DataFrame, by: list[str], label: str, score: str, positive: object, bound: int
+) -> tuple[DataFrame, list[float]]:
+    """``(by…, score, pos, neg)`` and the boundaries for running totals over it."""
     is_positive = col(label) == F.lit(positive)
-    return (
-        denan(df.select(*[col(b) for b in by], col(label), col(score).cast("double").alias("score")))
-        .filter(F.col("score").isNotNull() & col(label).isNotNull())
-        .groupBy(*by, "score")
-        .agg(F.count_if(is_positive).alias("pos"), F.count_if(~is_positive).alias("neg"))
+    rows = denan(
+        df.select(*[col(b) for b in by], col(label), col(score).cast("double").alias("score"))
+    ).filter(F.col("score").isNotNull() & col(label).isNotNull())
+    counted = rows.groupBy(*by, "score").agg(
+        F.count_if(is_positive).alias("pos"), F.count_if(~is_positive).alias("neg")
     )
-
-
-def _score_ranges(df: DataFrame, score: str, bound: int) -> list[float]:
-    return key_ranges(denan(df.select(col(score).cast("double").alias("score"))), "score", bound)
+    return ordered_by(rows, counted, "score", bound)
 
 
 def roc_auc(
@@ -239,8 +239,8 @@ def roc_auc(
 ) -> DataFrame:
     """``(by…, metric="auc_roc", value)``: exact area with ties at half weight."""
     by = list(by)
-    counted = _by_score(df, by, label, score, positive)
-    ranked = running_totals(counted, by, "score", ["neg"], _score_ranges(df, score, sort_bound))
+    counted, ranges = _by_score(df, by, label, score, positive, sort_bound)
+    ranked = running_totals(counted, by, "score", ["neg"], ranges)
     below = F.col("neg_upto") - F.col("neg") / 2
     area = ratio(
         F.sum(F.col("pos") * below), F.sum("pos").cast("double") * F.sum("neg").cast("double")
@@ -258,10 +258,8 @@ def roc_curve(
 ) -> DataFrame:
     """``(by…, threshold, fpr, tpr)`` at every distinct score, and the origin at infinity."""
     by = list(by)
-    counted = _by_score(df, by, label, score, positive)
-    ranked = running_totals(
-        counted, by, "score", ["pos", "neg"], _score_ranges(df, score, sort_bound), descending=True
-    )
+    counted, ranges = _by_score(df, by, label, score, positive, sort_bound)
+    ranked = running_totals(counted, by, "score", ["pos", "neg"], ranges, descending=True)
     totals = counted.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if by:
         points = ranked.join(totals, by)

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from tabspark.functions.columns import as_double, col, denan, family, require_columns
 from tabspark.functions.hashing import SLOTS, fine_slot, key_number, slot
 from tabspark.functions.numeric import sample_skewness
+from tabspark.functions.scratch import materialise
 from tabspark.operators.codes import CODE_BOUND, apply_codes, code_table
 from tabspark.operators.profile import column_kinds
 from tabspark.operators.stats import distinct_counts, exact_quantiles, per_column, value_counts_long
@@ -249,19 +250,22 @@ def with_stratified_split(
     class_of = F.lit("all") if label is None else F.coalesce(col(label).cast("string"), F.lit(""))
     data = df.withColumn("__class", class_of)
     data = data.withColumn("__slot", slot(number, seed)).withColumn("__fine", fine_slot(number, seed))
-    quotas = data.groupBy("__class").agg(
-        F.ceil(F.count("*") * F.lit(test_size)).cast("bigint").alias("__left")
+    # At most 50 classes x 10,000 slots.
+    slots = materialise(data.groupBy("__class", "__slot").count())
+    quotas = slots.groupBy("__class").agg(
+        F.ceil(F.sum("count") * F.lit(test_size)).cast("bigint").alias("__left")
+    )
+    cuts = materialise(_cut(slots, "__slot", quotas))
+    # The rows of one slot per class, one in 10,000.
+    inside = materialise(
+        data.join(F.broadcast(cuts), "__class")
+        .filter(F.col("__slot") == F.col("__cut___slot"))
+        .select("__class", "__fine", col(key).alias("__key"))
     )
-    # Fixed size: classes (at most 50) x 10,000 slots, then 10,000 fine slots per class.
-    slots = data.groupBy("__class", "__slot").count()
-    cuts = _cut(slots, "__slot", quotas)
-    inside = data.join(F.broadcast(cuts), "__class").filter(F.col("__slot") == F.col("__cut___slot"))
     fines = inside.groupBy("__class", "__fine").count()
-    fine_cuts = _cut(fines, "__fine", cuts.select("__class", "__left"))
-    edge = (
-        inside.select("__class", "__fine", col(key).alias("__key"))
-        .join(F.broadcast(fine_cuts), "__class")
-        .filter(F.col("__fine") == F.col("__cut___fine"))
+    fine_cuts = materialise(_cut(fines, "__fine", cuts.select("__class", "__left")))
+    edge = inside.join(F.broadcast(fine_cuts), "__class").filter(
+        F.col("__fine") == F.col("__cut___fine")
     )
     place = F.row_number().over(Window.partitionBy("__class").orderBy("__key"))
     last = (
