@@ -96,6 +96,11 @@ def split_exact(spark, sf):
     return customer.select("c_custkey", "split")
 
 
+def fold_stratified(spark, sf):
+    orders = P.with_stratified_fold(table(spark, sf, "orders"), "o_orderkey", "o_orderstatus")
+    return orders.select("o_orderkey", "o_orderstatus", "fold")
+
+
 def prepared_orders(spark, sf):
     columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
     orders = table(spark, sf, "orders").select(*columns)
@@ -126,6 +131,7 @@ QUERIES = {
     "split_hash": split_hash,
     "split_stratified": split_stratified,
     "split_exact": split_exact,
+    "fold_stratified": fold_stratified,
     "prepared_table": prepared_table,
     "prep_summary": prep_summary,
 }
@@ -178,6 +184,9 @@ SELECT c_custkey, code AS c_name FROM customer JOIN c USING (c_name)""",
     "split_exact": f"""SELECT c_custkey, CASE WHEN row_number() OVER (
         ORDER BY {slot_sql('c_custkey')}, {fine_slot_sql('c_custkey')}, c_custkey)
     <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM customer""",
+    "fold_stratified": f"""SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (
+        PARTITION BY o_orderstatus ORDER BY {slot_sql('o_orderkey')}, o_orderkey) - 1) % 5 AS INTEGER) AS fold
+FROM orders""",
     "prepared_table": f"""WITH f AS (SELECT *, {_PRICE} AS price FROM orders),
     g AS (SELECT *, coalesce(price, CASE WHEN abs(skewness(price) OVER ()) > 1 THEN median(price) OVER ()
         ELSE avg(price) OVER () END) AS filled FROM f)

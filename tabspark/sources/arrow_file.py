@@ -18,7 +18,7 @@ class BatchPartition(InputPartition):
     batch: int
 
 
-def _files(path: str) -> list[str]:
+def arrow_files(path: str) -> list[str]:
     if os.path.isdir(path):
         return sorted(glob.glob(os.path.join(path, "*.feather")))
     return sorted(glob.glob(path))
@@ -34,7 +34,7 @@ class ArrowFileSource(DataSource):
     def schema(self):
         import pyarrow as pa
 
-        with pa.memory_map(_files(self.options["path"])[0]) as source:
+        with pa.memory_map(arrow_files(self.options["path"])[0]) as source:
             return from_arrow_schema(pa.ipc.open_file(source).schema)
 
     def reader(self, schema) -> DataSourceReader:
@@ -49,7 +49,7 @@ class ArrowFileReader(DataSourceReader):
         import pyarrow as pa
 
         parts: list[InputPartition] = []
-        for name in _files(self.path):
+        for name in arrow_files(self.path):
             with pa.memory_map(name) as source:
                 count = pa.ipc.open_file(source).num_record_batches
             parts += [BatchPartition(name, i) for i in range(count)]

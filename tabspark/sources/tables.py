@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tabspark.functions.columns import col
 from tabspark.operators.validate import TableCheckError
-from tabspark.sources.arrow_file import register_arrow_source
+from tabspark.sources.arrow_file import arrow_files, register_arrow_source
 
 # Texts that a delimited file means as "missing".
 MISSING_TOKENS = (
@@ -36,14 +36,6 @@ def format_of(path: str) -> str:
     raise TableCheckError(f"unsupported file format: {path}; supported: {', '.join(FORMATS)}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = system.globStatus(target)
-    return found is not None and len(found) > 0
-
-
 def read_any(spark: SparkSession, path: str, format: str = "auto", **options) -> DataFrame:
     """Read a file, directory or glob; ``format`` overrides the suffix, options go to the reader.
 
@@ -52,7 +44,7 @@ def read_any(spark: SparkSession, path: str, format: str = "auto", **options) ->
     kind = format_of(path) if format == "auto" else format
     if kind not in FORMATS.values():
         raise TableCheckError(f"unsupported file format: {kind}")
-    if not _exists(spark, path):
+    if kind == "feather" and not arrow_files(path):
         raise TableCheckError(f"data file not found: {path}")
     try:
         if kind in ("csv", "tsv"):
@@ -65,6 +57,8 @@ def read_any(spark: SparkSession, path: str, format: str = "auto", **options) ->
         register_arrow_source(spark)
         return spark.read.format("arrow_file").options(**options).load(path)
     except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise TableCheckError(f"data file not found: {path}") from error
         raise TableCheckError(f"failed to load {path}: {error}") from error
 
 

@@ -53,8 +53,9 @@ def test_feather_reads_one_partition_per_batch(spark, tmp_path):
 
 
 def test_reader_errors(spark, tmp_path):
-    with pytest.raises(TableCheckError, match="not found"):
-        read_any(spark, str(tmp_path / "none.csv"))
+    for suffix in ("csv", "tsv", "parquet", "json", "jsonl", "feather"):
+        with pytest.raises(TableCheckError, match="not found"):
+            read_any(spark, str(tmp_path / f"none.{suffix}"))
     with pytest.raises(TableCheckError, match="unsupported"):
         read_any(spark, str(tmp_path / "none.xyz"))
     (tmp_path / "bad.parquet").mkdir()

@@ -137,6 +137,15 @@ def test_folds_keep_groups_together(spark):
     assert folds.select("fold").distinct().count() == 5
 
 
+def test_stratified_folds_are_even(spark):
+    df = spark.range(3001).withColumn("y", F.when(F.col("id") % 100 == 0, 1).otherwise(0))
+    folds = P.with_stratified_fold(df, "id", "y", 5)
+    rows = folds.groupBy("y", "fold").count().collect()
+    for y in (0, 1):
+        sizes = [r["count"] for r in rows if r["y"] == y]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+
+
 def test_prepare_leaves_out_text_and_dates(spark):
     source = np.random.RandomState(0)
     frame = pd.DataFrame(
