@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from tabspark.functions.columns import col, denan
 from tabspark.functions.hashing import SLOTS, key_number, slot
 from tabspark.functions.numeric import clipped, ratio, rounded
+from tabspark.functions.scratch import materialise
 from tabspark.operators.cumulative import SORT_BOUND, ordered_by, running_totals
 from tabspark.operators.explore import histogram
 
@@ -37,6 +38,9 @@ LOWER_IS_BETTER = ("mape", "rmse", "mae")
 METRIC_ALIASES = {"f1_score": "f1", "macro_f1": "f1_macro", "r2_score": "r2"}
 PROBABILITY_FLOOR = 2.220446049250313e-16
 
+# Classes up to which a dense confusion matrix is built.
+MATRIX_CLASSES = 1_000
+
 
 def _zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
@@ -63,17 +67,21 @@ def confusion_cells(
 
 
 def confusion_matrix(
-    df: DataFrame, by: Sequence[str] = (), label: str = "label", prediction: str = "prediction"
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", prediction: str = "prediction",
+    max_classes: int = MATRIX_CLASSES,
 ) -> DataFrame:
     """``(by…, label, prediction, n)`` for every pair of classes seen, zeros included.
 
-    The result has classes² rows per group by definition; use :func:`confusion_cells`
-    for labels of very many values.
+    The result has classes² rows per group by definition. Above ``max_classes`` use
+    :func:`confusion_cells`, which holds the same counts without the zeros.
     """
     by = list(by)
-    cells = confusion_cells(df, by, label, prediction)
-    seen = cells.select(*by, F.explode(F.array("label", "prediction")).alias("class"))
-    classes = seen.groupBy(*by).agg(F.collect_set("class").alias("classes"))
+    cells = materialise(confusion_cells(df, by, label, prediction))
+    seen = cells.select(*by, F.explode(F.array("label", "prediction")).alias("class")).distinct()
+    largest = seen.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest > max_classes:
+        raise ValueError(f"{largest} classes make a matrix too large; use confusion_cells")
+    classes = seen.groupBy(*by).agg(F.collect_list("class").alias("classes"))
     frame = classes.select(*by, F.explode("classes").alias("label"), "classes").select(
         *by, "label", F.explode("classes").alias("prediction")
     )

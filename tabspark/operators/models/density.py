@@ -1,10 +1,13 @@
-"""Exact density clustering of up to three numeric columns on a grid.
+"""Exact density clustering.
 
-The grid's cells are so small that all points of a cell are within ``eps`` of each
+Up to three numeric columns are clustered on a grid. The grid's cells are so small that all points of a cell are within ``eps`` of each
 other. A cell with enough points therefore needs no comparison inside it: all its
 points are core, and they belong together. Equal points are merged into one weighted
 point first. Whether two cells touch is decided on bounding boxes that are refined
 only where they do not decide yet, so two full cells are never compared point by point.
+
+Longer vectors are clustered in cells around pivots, compared block by block; a pair of
+blocks reports counts and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -13,19 +16,33 @@ import math
 from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.functions.columns import col
 from tabspark.functions.scratch import materialise
 from tabspark.operators.components import connected_components
+from tabspark.operators.models.blocks import (
+    BLOCK_ROWS,
+    PIVOTS,
+    assign_cells,
+    cell_radius,
+    choose_pivots,
+    compare_blocks,
+    distances,
+    distinct_vectors,
+    matrix,
+    send_to_cells,
+)
 
 # Neighbourhood radius, points of a dense neighbourhood, mark of noise.
 EPS = 0.5
 MIN_POINTS = 5
 NOISE = -1
 
-MAX_COLUMNS = 3
+GRID_COLUMNS = 3
 REFINE = 2  # bits per refinement: boxes are cut into 2**REFINE parts per column
 LAST_LEVEL = 26  # beyond, boxes are single points
 
@@ -39,8 +56,11 @@ def density_clusters(
     must be an integer; rows with a missing value are noise.
     """
     columns = list(columns)
-    if not 1 <= len(columns) <= MAX_COLUMNS:
-        raise ValueError(f"density clustering takes 1 to {MAX_COLUMNS} columns, not {len(columns)}")
+    if not columns:
+        raise ValueError("no column to cluster by")
+    if len(columns) > GRID_COLUMNS:
+        vectors = df.withColumn("__v", F.array(*[col(c).cast("double") + F.lit(0.0) for c in columns]))
+        return density_clusters_of_vectors(vectors, key, "__v", eps, min_points)
     axes = range(len(columns))
     x, g = [f"x{i}" for i in axes], [f"g{i}" for i in axes]
     side = eps / math.sqrt(len(columns)) * (1 - 1e-9)
@@ -95,6 +115,92 @@ def density_clusters(
     )
 
 
+def density_clusters_of_vectors(
+    df: DataFrame, key: str, vector: str, eps: float = EPS, min_points: int = MIN_POINTS,
+    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``(key, cluster, is_core)`` as :func:`density_clusters`, for an array column of any length."""
+    rows = df.select(col(key).alias("key"), col(vector).cast("array<double>").alias("vector"))
+    whole = rows.filter(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v)))
+    base = materialise(distinct_vectors(whole, "key", "vector"))
+    centres = choose_pivots(base, pivots)
+    placed = materialise(assign_cells(base, centres))
+    radius = cell_radius(placed, len(centres))
+    reach = np.full(len(centres), eps)
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": [], "near": []})
+        near = distances(matrix(a["vector"]), matrix(b["other_vector"])) <= eps
+        return pd.DataFrame({"id": a["id"], "near": near @ b["other_weight"].to_numpy()})
+
+    counts = compare_blocks(
+        placed, send_to_cells(base, centres, radius, reach), count, "id bigint, near bigint", block_rows
+    ).groupBy("id").agg((F.sum("near") >= min_points).alias("core"))
+    marked = materialise(placed.join(counts, "id"))
+
+    def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """Core rows: links to the smallest connected id. Others: their nearest core vector."""
+        empty = pd.DataFrame({"id": [], "other": [], "distance": [], "core": []})
+        b = b[b["other_core"]]
+        if a.empty or b.empty:
+            return empty
+        d = distances(matrix(a["vector"]), matrix(b["other_vector"]))
+        near, own, names = d <= eps, a["id"].to_numpy(), b["other"].to_numpy()
+        core = a["core"].to_numpy()
+        parts = []
+        both = near[core]
+        if both.any():
+            left, right = own[core].copy(), names.copy()
+            big = np.iinfo(np.int64).max
+            while True:
+                low = np.where(both, left[:, None], big).min(axis=0)
+                new_right = np.minimum(right, low)
+                new_left = np.minimum(left, np.where(both, new_right[None, :], big).min(axis=1))
+                if (new_left == left).all() and (new_right == right).all():
+                    break
+                left, right = new_left, new_right
+            ends = np.r_[own[core], names], np.r_[left, right]
+            parts.append(pd.DataFrame({"id": ends[0], "other": ends[1], "distance": 0.0, "core": True}))
+        outside = np.flatnonzero(~core & near.any(axis=1))
+        if len(outside):
+            # Every core vector at the smallest distance may decide; blocks keep one per distance tie.
+            gap = np.where(near[outside], d[outside], np.inf).min(axis=1)
+            rows_at, at = np.nonzero((d[outside] == gap[:, None]) & near[outside])
+            parts.append(
+                pd.DataFrame({"id": own[outside][rows_at], "other": names[at],
+                              "distance": gap[rows_at], "core": False})
+            )
+        return pd.concat(parts) if parts else empty
+
+    # Core vectors alone are sent: nothing else links or attracts.
+    others = send_to_cells(marked.filter("core").drop("cell", "gap"), centres, radius, reach)
+    found = materialise(
+        compare_blocks(
+            marked, others, link, "id bigint, other bigint, distance double, core boolean", block_rows,
+            extra=("core",),
+        )
+    )
+    nodes = marked.filter("core").select("id")
+    edges = found.filter("core").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    inner = materialise(connected_components(nodes, edges))
+    border = (
+        found.filter(~F.col("core"))
+        .join(inner.select(F.col("id").alias("other"), "component"), "other")
+        .groupBy("id")
+        .agg(F.min(F.struct("distance", "component"))["component"].alias("component"))
+    )
+    labels = inner.withColumn("is_core", F.lit(True)).unionByName(
+        border.withColumn("is_core", F.lit(False))
+    )
+    labelled = base.select("id", "vector").join(labels, "id", "left").drop("id")
+    return rows.join(labelled, "vector", "left").select(
+        F.col("key").alias(key),
+        F.coalesce("component", F.lit(NOISE)).cast("bigint").alias("cluster"),
+        F.coalesce("is_core", F.lit(False)).alias("is_core"),
+    )
+
+
 def _offsets(dims: int, side: float, eps: float) -> list[tuple[int, ...]]:
     reach = math.floor(eps / side) + 1
     return list(product(range(-reach, reach + 1), repeat=dims))

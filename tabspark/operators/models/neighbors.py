@@ -9,8 +9,6 @@ first, so a vector copied very often is one row with a weight.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,59 +17,23 @@ from pyspark.sql.window import Window
 
 from tabspark.functions.columns import col
 from tabspark.functions.scratch import materialise
+from tabspark.operators.models.blocks import (
+    BLOCK_ROWS,
+    PIVOTS,
+    assign_cells,
+    cell_radius,
+    choose_pivots,
+    compare_blocks,
+    distances,
+    distinct_vectors,
+    matrix,
+    send_to_cells,
+)
 
 # Neighbours of the outlier factor and its guard against division by zero.
 NEIGHBOURS = 20
 REACH_GUARD = 1e-10
 
-PIVOTS = 256
-BLOCK_ROWS = 2048
-
-
-def _matrix(cells: pd.Series) -> np.ndarray:
-    return np.stack(cells.to_numpy()).astype(float)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by differences, a slice of rows at a time (no cancellation)."""
-    result = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for start in range(0, len(a), step):
-        delta = a[start : start + step, None, :] - b[None, :, :]
-        result[start : start + step] = np.sqrt((delta * delta).sum(axis=2))
-    return result
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Pivots, cell radii and, per cell, how far its vectors' neighbours can be."""
-
-    pivots: np.ndarray
-    radius: np.ndarray
-    reach: np.ndarray
-
-
-def distinct_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``(id, vector, weight)``: one row per different vector, named by its smallest key."""
-    return (
-        df.select(col(key).cast("bigint").alias("id"), col(vector).cast("array<double>").alias("vector"))
-        .groupBy("vector")
-        .agg(F.min("id").alias("id"), F.count("*").alias("weight"))
-        .select("id", "vector", "weight")
-    )
-
-
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    @F.pandas_udf("cell int, gap double")
-    def nearest(cells: pd.Series) -> pd.DataFrame:
-        if not len(cells):
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "gap": pd.Series([], dtype=float)})
-        d = _distances(_matrix(cells), pivots)
-        best = d.argmin(axis=1)
-        return pd.DataFrame({"cell": best.astype("int32"), "gap": d[np.arange(len(d)), best]})
-
-    return df.withColumn("__at", nearest("vector")).select("*", "__at.cell", "__at.gap").drop("__at")
-
 
 def nearest_neighbours(
     base: DataFrame, k: int, queries: DataFrame | None = None, pivots: int = PIVOTS,
@@ -84,50 +46,18 @@ def nearest_neighbours(
     go to the smaller id. ``weight`` is the neighbour's.
     """
     itself = queries is None
-    # A fixed number of vectors, chosen by hash, reaches the driver.
-    chosen = base.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
-    centres = np.array([r["vector"] for r in chosen], dtype=float)
-    placed = materialise(_assign(base, centres))
-    asked = placed if itself else materialise(_assign(queries, centres))
-    wanted = k + 1 if itself else k
-    cells = _bounds(placed, asked, centres, wanted)
-
-    @F.pandas_udf("array<int>")
-    def targets(cells_of: pd.Series) -> pd.Series:
-        if not len(cells_of):
-            return pd.Series([], dtype=object)
-        d = _distances(_matrix(cells_of), cells.pivots)
-        # No vector of the cell is nearer than d - radius; a little slack covers rounding.
-        near = d - cells.radius <= cells.reach * (1 + 1e-9) + 1e-12
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
-
-    sent = placed.select("id", "vector", "weight", F.explode(targets("vector")).alias("cell"))
-    q_sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("q_blocks"))
-    c_sizes = sent.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("c_blocks"))
-    # One row per pivot at most.
-    sizes = F.broadcast(materialise(q_sizes.join(c_sizes, "cell")))
-
-    def block(count: str):
-        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-
-    def others(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
-
-    left = asked.join(sizes, "cell").select(
-        F.col("cell"), F.col("id").alias("id"), F.col("vector").alias("vector"), block("q_blocks").alias("qb"), others("c_blocks").alias("cb")
-    )
-    right = sent.join(sizes, "cell").select(
-        "cell", F.col("id").alias("other"), F.col("vector").alias("other_vector"),
-        F.col("weight").alias("other_weight"), block("c_blocks").alias("cb"),
-        others("q_blocks").alias("qb"),
-    )
+    centres = choose_pivots(base, pivots)
+    placed = materialise(assign_cells(base, centres))
+    asked = placed if itself else materialise(assign_cells(queries, centres))
+    radius, reach = _bounds(placed, asked, centres, k + 1 if itself else k)
+    sent = send_to_cells(base, centres, radius, reach)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": [], "weight": []})
         b = b.sort_values("other", kind="stable")
         names, weights = b["other"].to_numpy(), b["other_weight"].to_numpy()
-        d = _distances(_matrix(a["vector"]), _matrix(b["other_vector"]))
+        d = distances(matrix(a["vector"]), matrix(b["other_vector"]))
         if itself:
             d[a["id"].to_numpy()[:, None] == names[None, :]] = np.inf
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
@@ -139,20 +69,19 @@ def nearest_neighbours(
              "weight": weights[at]}
         )
 
-    keys = ["cell", "qb", "cb"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best, "id bigint, neighbour bigint, distance double, weight bigint"
+    pairs = compare_blocks(
+        asked, sent, best, "id bigint, neighbour bigint, distance double, weight bigint", block_rows
     )
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _bounds(placed: DataFrame, asked: DataFrame, pivots: np.ndarray, wanted: int) -> Cells:
+def _bounds(
+    placed: DataFrame, asked: DataFrame, pivots: np.ndarray, wanted: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Per cell: radius of its queries and a distance within which ``wanted`` base vectors lie."""
-    n = len(pivots)
-    radius, reach = np.full(n, -np.inf), np.full(n, -np.inf)
-    for r in asked.groupBy("cell").agg(F.max("gap").alias("radius")).collect():
-        radius[r["cell"]] = r["radius"]
+    radius = cell_radius(asked, len(pivots))
+    reach = np.full(len(pivots), -np.inf)
     nearest = Window.partitionBy("cell").orderBy("gap", "id")
     first = (
         placed.withColumn("place", F.row_number().over(nearest))
@@ -161,13 +90,11 @@ def _bounds(placed: DataFrame, asked: DataFrame, pivots: np.ndarray, wanted: int
         .agg(F.collect_list("gap").alias("gaps"))  # at most `wanted` numbers per pivot
         .collect()
     )
-    between = _distances(pivots, pivots)
+    between = distances(pivots, pivots)
     for i in np.flatnonzero(np.isfinite(radius)):
         ways = np.concatenate([between[i, r["cell"]] + np.array(r["gaps"]) for r in first])
-        place = min(wanted, len(ways)) - 1
-        bound = radius[i] + np.partition(ways, place)[place]
-        reach[i] = np.inf if len(ways) < wanted else bound
-    return Cells(pivots, np.where(np.isfinite(radius), radius, 0.0), reach)
+        reach[i] = np.inf if len(ways) < wanted else radius[i] + np.partition(ways, wanted - 1)[wanted - 1]
+    return radius, reach
 
 
 def _shares(neighbours: DataFrame, k: int, own: DataFrame | None) -> DataFrame:

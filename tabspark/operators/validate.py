@@ -60,8 +60,9 @@ def require_valid(
 def split_overlap(train: DataFrame, test: DataFrame, key: str | list[str]) -> DataFrame:
     """Distinct keys that occur in both tables (empty = no leak between the two)."""
     keys = [key] if isinstance(key, str) else list(key)
-    left = train.select(*[col(k) for k in keys]).distinct()
-    return left.join(test.select(*[col(k) for k in keys]), keys, "left_semi")
+    # Keys are made distinct before they are shuffled, so a frequent key costs one row per task.
+    left, right = (df.select(*[col(k) for k in keys]).distinct() for df in (train, test))
+    return left.join(right, keys, "left_semi")
 
 
 def has_split_overlap(train: DataFrame, test: DataFrame, key: str | list[str]) -> bool:

@@ -162,7 +162,7 @@ def tag_task_type_texts(spark, sf):
 def report_facts(spark, sf):
     profile = P.column_profile(table(spark, sf, "orders"))
     metrics, scores = saved_metrics(spark, sf), saved_scores(spark, sf)
-    diagnosis = _diagnosis(metrics, scores)
+    diagnosis = materialise(_diagnosis(metrics, scores))
     verdict = D.run_verdict(diagnosis, metrics)
     comparison = M.model_comparison(scores.withColumnRenamed("run", "model"))
     criteria = M.criteria_table(spark, "binary_classification", CRITERIA)

@@ -9,7 +9,7 @@ from tabspark.operators import metrics as M
 from tabspark.operators.components import connected_components
 from tabspark.operators.models import catalog, train, tune
 from tabspark.operators.models.cluster import best_kmeans
-from tabspark.operators.models.density import density_clusters
+from tabspark.operators.models.density import density_clusters, density_clusters_of_vectors
 from tabspark.operators.models.isolation import average_path, fit_isolation_forest
 from tabspark.operators.models.neighbors import local_outlier_factor, novelty_factor
 
@@ -192,9 +192,23 @@ def test_density_clusters_equal_brute_force(spark, dims):
     assert (got.cluster.to_numpy() == label).all() and (got.is_core.to_numpy() == core).all()
 
 
-def test_density_refuses_many_columns(spark):
-    with pytest.raises(ValueError):
-        density_clusters(spark.range(1), "id", ["a", "b", "c", "d"])
+@pytest.mark.parametrize("pivots,block", [(64, 2048), (6, 40)])
+def test_density_of_long_vectors_equals_brute_force(spark, pivots, block):
+    source = np.random.RandomState(9)
+    x = np.r_[
+        source.randn(120, 5) * 0.3, source.randn(120, 5) * 0.3 + 1.5,
+        source.uniform(-3, 4, (60, 5)), np.repeat(source.uniform(-3, 4, (2, 5)), 50, 0),
+    ]
+    names = [f"c{i}" for i in range(5)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(len(x))))
+    vectors = df.select("id", F.array(*names).alias("v"))
+    got = density_clusters_of_vectors(vectors, "id", "v", 0.6, 5, pivots, block).toPandas().sort_values("id")
+    label, core = brute_density(x, 0.6, 5)
+    assert (label >= 0).any() and ((label >= 0) & ~core).any()
+    assert (got.cluster.to_numpy() == label).all() and (got.is_core.to_numpy() == core).all()
+    if pivots == 64:
+        same = density_clusters(df, "id", names, 0.6, 5).toPandas().sort_values("id")
+        assert (same.cluster.to_numpy() == label).all()
 
 
 def test_components_of_a_chain_and_a_star(spark):
