@@ -14,16 +14,13 @@ def shared_folder(spark: SparkSession) -> str:
     A local session without one gets a fresh temporary folder. On a cluster the
     setting is required, because executors cannot see a folder of one machine.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if current is None and configured is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="tabspark-")
-    if current is None:
-        spark.sparkContext.setCheckpointDir(configured)
-        current = spark.sparkContext.getCheckpointDir()
-    return configured or current
+        folder = tempfile.mkdtemp(prefix="tabspark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -32,6 +29,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage, survives the loss of executors, and unlike a checkpoint lets the
+    optimizer prune columns and know the size. The folder may be emptied after the
+    session.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from tabspark.functions.numeric import rounded
 from tabspark.operators import metrics as M
 from tabspark.operators.models import catalog, train, tune
 from tabspark.operators.models.cluster import best_kmeans
-from tabspark.operators.models.density import density_clusters
+from tabspark.operators.models.density import density_clusters, density_clusters_of_vectors
 from tabspark.operators.models.isolation import fit_isolation_forest
 from tabspark.operators.models.neighbors import local_outlier_factor
 from tabspark.operators.prepare import prepare
@@ -156,7 +156,12 @@ def cluster_kmeans(spark, sf):
 
 def cluster_density(spark, sf):
     part = table(spark, sf, "part")
-    return density_clusters(part, "p_partkey", ["p_size", "p_retailprice"], eps=1.5, min_points=5)
+    return density_clusters(part, "p_partkey", ["p_size", "p_retailprice"], eps=2.0, min_points=5)
+
+
+def cluster_density_vectors(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return density_clusters_of_vectors(vectors, "vec_id", "embedding", eps=1.18, min_points=5)
 
 
 def anomaly_iforest(spark, sf):
@@ -191,10 +196,25 @@ QUERIES = {
     "assessment": assessment,
     "cluster_kmeans": cluster_kmeans,
     "cluster_density": cluster_density,
+    "cluster_density_vectors": cluster_density_vectors,
     "anomaly_iforest": anomaly_iforest,
     "anomaly_lof": anomaly_lof,
 }
 
+
+
+def _density_sql(pairs: str, key: str, source: str) -> str:
+    """Density clusters from ``(i, j, d)`` pairs within the radius, every row paired with itself."""
+    return f"""WITH RECURSIVE p AS ({pairs}),
+    core AS (SELECT i FROM p GROUP BY i HAVING count(*) >= 5),
+    e AS (SELECT i, j FROM p WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)),
+    r(id, root) AS (SELECT i, i FROM core UNION SELECT e.j, r.root FROM r JOIN e ON e.i = r.id),
+    c AS (SELECT id, min(root) AS cluster FROM r GROUP BY id),
+    b AS (SELECT p.i AS id, first(c.cluster ORDER BY p.d, c.cluster) AS cluster FROM p JOIN c ON c.id = p.j GROUP BY p.i)
+SELECT s.{key}, coalesce(c.cluster, b.cluster, -1) AS cluster, c.id IS NOT NULL AS is_core
+FROM {source} s LEFT JOIN c ON c.id = s.{key} LEFT JOIN b ON b.id = s.{key}"""
+
+
 # Closed forms: two centred features with a ridge, one feature with a soft threshold.
 ORACLE = {
     "train_ridge": """WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb,
@@ -212,6 +232,20 @@ UNION ALL SELECT 'intercept', round(my - wa * ma - wb * mb, 3) FROM w""",
     w AS (SELECT *, sign(c) * greatest(abs(c) - 50, 0) / d AS b FROM m)
 SELECT 'l_quantity' AS term, round(b, 3) AS coefficient FROM w
 UNION ALL SELECT 'intercept', round(my - b * mx, 3) FROM w""",
+    "cluster_density": _density_sql(
+        """SELECT a.p_partkey AS i, b.p_partkey AS j,
+        sqrt((a.p_size - b.p_size) ** 2 + (a.p_retailprice - b.p_retailprice) ** 2) AS d
+        FROM part a JOIN part b ON sqrt((a.p_size - b.p_size) ** 2
+            + (a.p_retailprice - b.p_retailprice) ** 2) <= 2.0""",
+        "p_partkey", "part",
+    ),
+    "cluster_density_vectors": _density_sql(
+        """SELECT a.vec_id AS i, b.vec_id AS j, sqrt(sum((a.x - b.x) ** 2)) AS d
+        FROM (SELECT vec_id, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) a
+        JOIN (SELECT vec_id, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) b
+        ON a.k = b.k GROUP BY ALL HAVING sqrt(sum((a.x - b.x) ** 2)) <= 1.18""",
+        "vec_id", "embeddings",
+    ),
     "anomaly_lof": """WITH v AS (SELECT vec_id, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
     p AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(sum((a.x - b.x) ** 2)) AS dist
         FROM v a JOIN v b ON a.d = b.d AND a.vec_id <> b.vec_id GROUP BY ALL),
