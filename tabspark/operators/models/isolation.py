@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.base import Estimator, Model
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabspark.functions.columns import col
+from tabspark.operators.stats import exact_quantiles
 
 # Trees, rows per tree, seed, and the score above which a row is an anomaly.
 TREES = 100
@@ -39,6 +42,7 @@ class IsolationForest:
     trees: list[tuple]
     columns: list[str]
     rows_per_tree: int
+    threshold: float = ANOMALY_ABOVE
 
     def score(self) -> Column:
         """Anomaly score in (0, 1) of the columns the forest was fitted on."""
@@ -68,11 +72,15 @@ class IsolationForest:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``anomaly_score`` and ``is_anomaly``."""
         return df.withColumn("anomaly_score", self.score()).withColumn(
-            "is_anomaly", F.col("anomaly_score") > ANOMALY_ABOVE
+            "is_anomaly", F.col("anomaly_score") > self.threshold
         )
 
 
-def _build_tree(x: np.ndarray, source: np.random.Generator, limit: int) -> tuple[list, ...]:
+def _build_tree(
+    x: np.ndarray, source: np.random.Generator, limit: int, max_features: float
+) -> tuple[list, ...]:
+    width = x.shape[1]
+    allowed = source.permutation(width)[: max(1, int(max_features * width))]
     feature, threshold, left, right, size = [], [], [], [], []
     pending = [(np.arange(len(x)), 0, None)]
     while pending:
@@ -81,7 +89,7 @@ def _build_tree(x: np.ndarray, source: np.random.Generator, limit: int) -> tuple
         if parent is not None:
             (left if parent[1] else right)[parent[0]] = here
         low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-        open_columns = np.flatnonzero(high > low)
+        open_columns = allowed[high[allowed] > low[allowed]]
         size.append(len(rows))
         left.append(-1)
         right.append(-1)
@@ -102,12 +110,14 @@ def _build_tree(x: np.ndarray, source: np.random.Generator, limit: int) -> tuple
 
 def fit_isolation_forest(
     df: DataFrame, columns: Sequence[str], key: str, trees: int = TREES,
-    rows_per_tree: int = ROWS_PER_TREE, seed: int = SEED,
+    rows_per_tree: int = ROWS_PER_TREE, seed: int = SEED, max_features: float = 1.0,
+    contamination: float | str = "auto",
 ) -> IsolationForest:
     """Draw up to 256 rows per tree by a hash of the key and build every tree in its own task.
 
     Each row decides by hash which trees it is drawn for, about twice as many as wanted;
     the exact number is kept by order of the hash. No task sees more than one tree's rows.
+    With a ``contamination`` share that share of the rows is anomalous, else scores above 0.5.
     """
     columns = list(columns)
     data = df.select(col(key).alias("__key"), *[col(c).cast("double").alias(c) for c in columns])
@@ -134,11 +144,45 @@ def fit_isolation_forest(
     def build(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
         ordered = group.sort_values("__place")
-        parts = _build_tree(ordered[columns].to_numpy(), np.random.default_rng([seed, tree]), limit)
+        parts = _build_tree(ordered[columns].to_numpy(), np.random.default_rng([seed, tree]), limit, max_features)
         return pd.DataFrame({"tree": [tree], **{
             name: [part] for name, part in zip(("feature", "threshold", "left", "right", "size"), parts)
         }})
 
     rows = sample.groupBy("tree").applyInPandas(build, NODES).orderBy("tree").collect()
     forest = [tuple(np.array(r[c]) for c in ("feature", "threshold", "left", "right", "size")) for r in rows]
-    return IsolationForest(forest, columns, wanted)
+    fitted = IsolationForest(forest, columns, wanted)
+    if contamination == "auto":
+        return fitted
+    scores = data.select(fitted.score().alias("score"))
+    cut = exact_quantiles(scores, ["score"], {"cut": 1.0 - contamination}).first()["cut"]
+    return replace(fitted, threshold=cut)
+
+
+class IsolationForestEstimator(Estimator):
+    """The forest as a pipeline stage over a feature vector; ``prediction`` 1 marks anomalies."""
+
+    def __init__(self, key: str, features: str = "features", **settings):
+        super().__init__()
+        self.key, self.features, self.settings = key, features, settings
+
+    def _fit(self, dataset: DataFrame) -> "IsolationForestModel":
+        width = len(dataset.select(self.features).first()[0])
+        cells = vector_to_array(col(self.features))
+        names = [f"__f{i}" for i in range(width)]
+        flat = dataset.select(self.key, *[cells[i].alias(n) for i, n in enumerate(names)])
+        return IsolationForestModel(
+            fit_isolation_forest(flat, names, self.key, **self.settings), self.features
+        )
+
+
+class IsolationForestModel(Model):
+    def __init__(self, forest: IsolationForest, features: str):
+        super().__init__()
+        self.forest, self.features = forest, features
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        cells = vector_to_array(col(self.features))
+        flat = dataset.withColumns({n: cells[i] for i, n in enumerate(self.forest.columns)})
+        scored = self.forest.transform(flat).drop(*self.forest.columns)
+        return scored.withColumn("prediction", F.col("is_anomaly").cast("double"))

@@ -61,6 +61,7 @@ def test_candidates_by_size():
     assert catalog.candidates("binary_classification", 100)[0] == "LogisticRegression"
     assert catalog.candidates("binary_classification", 60_000)[-1] == "LogisticRegression"
     assert "SVM" not in catalog.candidates("binary_classification", 60_000)
+    assert catalog.candidates("clustering", 10) == ["KMeans", "DBSCAN"]
     assert catalog.candidates("ranking", 10) == catalog.candidates("binary_classification", 10)
 
 
@@ -260,6 +261,32 @@ def test_isolation_forest_ranks_planted_outliers_first(spark):
     assert average_path(256) == pytest.approx(10.2448, abs=1e-3)
 
 
+def test_contamination_sets_the_share_of_anomalies(spark):
+    df = spark.range(1000).select("id", F.randn(1).alias("a"), F.randn(2).alias("b"))
+    forest = fit_isolation_forest(df, ["a", "b"], "id", trees=10, max_features=0.5, contamination=0.1)
+    assert all(len(set(t[0][t[0] >= 0])) == 1 for t in forest.trees)
+    assert abs(forest.transform(df).filter("is_anomaly").count() - 100) <= 10
+
+
+def test_search_over_clusters_and_forests(spark):
+    source = np.random.RandomState(5)
+    x = np.r_[source.randn(60, 2), source.randn(60, 2) + 8]
+    frame = pd.DataFrame(x, columns=["a", "b"]).assign(id=range(120), label=[0.0] * 60 + [1.0] * 60)
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(frame).coalesce(2)
+    )
+    best, _ = tune.random_search(
+        df, "KMeans", "clustering", 2, 2, key="id", space={"n_clusters": ("int", 2, 2), "n_init": ("int", 1, 1)}
+    )
+    assert {r["score"] for r in best.scores.collect()} == {1.0}
+    rare = df.withColumn("label", (F.col("id") == 7).cast("double"))
+    _, draws = tune.random_search(
+        rare, "IsolationForest", "anomaly_detection", 1, 2, key="id",
+        space={"n_estimators": ("int", 5, 5), "contamination": ("float", 0.05, 0.1)},
+    )
+    assert draws.count() == 1
+
+
 class Doubler(Transformer):
     """A user stage: any Transformer fits into a Pipeline next to the built-in ones."""
 
