@@ -13,14 +13,28 @@ from pyspark.sql import functions as F
 
 # Bytes of text that a task turns into Python objects at a time.
 SLICE_BYTES = 8 << 20
+# Bytes that a Python worker gets at a time.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Labelled texts above this length are not used for fitting (they are scored whole).
 FIT_CHARS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the queries' batches are bounded from here on."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send at most ``BATCH_BYTES`` to a Python worker at once, unless the session says otherwise.
+
+    Spark's own bound is 64 MB, which every task would hold several times.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most ``SLICE_BYTES`` of text, or one row."""
     for batch in batches:
