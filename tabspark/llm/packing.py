@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tabspark.llm.common import slices, strings
 from tabspark.llm.encoding import encoder
-from tabspark.llm.token_store import little
 
 LENGTH = 2048
 # Pieces that are packed together; a group that holds more is packed in parts of this size.
@@ -20,7 +19,9 @@ GROUP_PIECES = 4096
 # Bytes of text that a full piece stands for, to choose the number of groups.
 BYTES_PER_TOKEN = 3
 PIECE = "struct<doc_id: long, start: long, length: long, offset: long, doc_tokens: long>"
-SEQUENCES = f"sequence_id long, tokens array<int>, padding int, pieces array<{PIECE}>"
+# Tokens are little-endian unsigned 32-bit integers. Sequences that a task hands on at once.
+SEQUENCES = f"sequence_id long, tokens binary, padding int, pieces array<{PIECE}>"
+HANDED_ON = 256
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -89,20 +90,20 @@ def _pack(capacity: int, kind: str, most: int):
         bins = first_fit_decreasing(np.array([len(r[4]) // width for r in rows]), capacity)
         tokens, counts, pieces = [], [], []
         for members in bins:
-            offset, parts = 0, []
+            offset, parts, held = 0, [], []
             for i in members:
                 _, doc, start, total, ids = rows[i]
                 n = len(ids) // width
                 parts.append({"doc_id": doc, "start": start, "length": n, "offset": offset, "doc_tokens": total})
-                tokens.append(ids)
+                held.append(ids)
                 offset += n
+            tokens.append(np.frombuffer(b"".join(held), kind).astype("<u4").tobytes())
             counts.append(offset)
             pieces.append(parts)
-        flat = np.frombuffer(b"".join(tokens), kind).astype(np.int32)
         fields = [(c, pa.int64()) for c in ("doc_id", "start", "length", "offset", "doc_tokens")]
         return pa.RecordBatch.from_arrays(
             [pa.array(range(first, first + len(bins)), pa.int64()),
-             pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat)),
+             pa.array(tokens, pa.binary()),
              pa.array([capacity - n for n in counts], pa.int32()),
              pa.array(pieces, pa.list_(pa.struct(fields)))],
             ["sequence_id", "tokens", "padding", "pieces"])
@@ -117,12 +118,13 @@ def _pack(capacity: int, kind: str, most: int):
                     out = sequences(held, (group << 32) + made)
                     made += out.num_rows
                     held = []
-                    yield out
+                    yield from (out.slice(i, HANDED_ON) for i in range(0, out.num_rows, HANDED_ON))
                 if row[0] != group:
                     group, made = row[0], 0
                 held.append(row)
         if held:
-            yield sequences(held, (group << 32) + made)
+            out = sequences(held, (group << 32) + made)
+            yield from (out.slice(i, HANDED_ON) for i in range(0, out.num_rows, HANDED_ON))
 
     return run
 
@@ -133,8 +135,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end_id: int =
 
     Every document becomes its ids followed by ``end_id`` and is cut into pieces of
     ``capacity`` ids and a rest. Pieces are dealt to random groups; each group is packed by
-    :func:`first_fit_decreasing`. Result, a row per sequence: sequence_id, tokens (unpadded;
-    ``padding`` tells what is missing to ``capacity``) and pieces (doc_id, start in the
+    :func:`first_fit_decreasing`. Result, a row per sequence: sequence_id, tokens (binary,
+    little-endian unsigned 32-bit, unpadded; ``padding`` tells what is missing to ``capacity``) and pieces (doc_id, start in the
     document, length, offset in the sequence, doc_tokens), gapless from offset 0.
 
     Null texts are empty documents (only the end id), null keys and repeated rows are kept,
@@ -152,20 +154,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end_id: int =
     return dealt.mapInArrow(_pack(capacity, kind, group_pieces), SEQUENCES)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for key, tokens, pieces in zip(batch.column("sequence_id").to_pylist(), batch.column("tokens"),
-                                       batch.column("pieces").to_pylist(), strict=True):
-            ids = np.asarray(tokens.values).astype("u4")
-            for p in pieces:
-                part = little(ids[p["offset"]:p["offset"] + p["length"]].tobytes())
-                out.append(p | {"sequence_id": key, "ids_crc32": zlib.crc32(part)})
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in names], names)
-
-
 def piece_digests(sequences: DataFrame) -> DataFrame:
     """A row per piece with the checksum of its ids as they lie in the packed sequence."""
-    return sequences.mapInArrow(
-        _digests, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = sequences.select("sequence_id", "tokens", F.explode("pieces").alias("p"))
+    ids = F.substring("tokens", (4 * F.col("p.offset") + 1).cast("int"), (4 * F.col("p.length")).cast("int"))
+    return rows.select("p.doc_id", "p.start", "p.length", F.crc32(ids).alias("ids_crc32"), "p.doc_tokens",
+                       "sequence_id", "p.offset")
