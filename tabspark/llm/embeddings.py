@@ -16,8 +16,10 @@ from tabspark.operators.components import connected_components
 
 COSINE = 0.93
 # Filters that two vectors at the limit share on average, and vectors of a label that a filter shall hold.
-SHARED = 6.0
+SHARED = 8.0
 BUCKET = 256
+# The largest share of the sphere that a filter may hold; larger ones would be few and alike.
+LARGEST_CAP = 0.03
 # Vectors that are compared with each other at once; fuller filters are cut into blocks of this size.
 BLOCK = 1024
 # Full filters up to this number are broadcast (a few bytes each); beyond, they are joined by shuffle.
@@ -226,7 +228,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     reps = materialise(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
                        .withColumn("dim", F.size("v")))
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    share = min(0.25, max(1e-8, bucket / most))
+    share = min(LARGEST_CAP, max(1e-8, bucket / most))
     kind = reps.schema["v"].dataType.simpleString()
     listed = materialise(reps.select("rep", "label", "dim", "copies", "v").mapInArrow(
         _listed(share, caps_needed(share, cosine, shared), seed),

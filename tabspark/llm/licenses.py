@@ -162,7 +162,7 @@ whole AS (
   LEFT JOIN known k ON length(part) <= {longest} AND k.words = {low.format('part')}),
 lines AS (
   SELECT rowid_, i, j, k.name FROM (
-    SELECT rowid_, i, line, j FROM whole, unnest(string_split(part, chr(10))) WITH ORDINALITY AS u(line, j)
+    SELECT rowid_, i, u.line, u.j FROM whole, unnest(string_split(part, chr(10))) WITH ORDINALITY AS u(line, j)
     WHERE name IS NULL) x
   JOIN known k ON length(line) <= {longest} AND k.words = {low.format('line')}),
 hits AS (SELECT rowid_, i, j, name FROM whole WHERE name IS NOT NULL UNION ALL SELECT * FROM lines),
@@ -171,9 +171,9 @@ paths AS (
   SELECT doc_id, coalesce(ids, '') AS ids, ' ' || coalesce(ids, '') || ' ' AS path
   FROM docs LEFT JOIN listed USING (rowid_))
 SELECT doc_id, CASE {license_} END AS license, CASE {reusable} END AS reusable, replace(ids, ' ', ',') AS sentence_ids,
-  array_to_string(list_filter(list_distinct_ordered, x -> x IS NOT NULL), ',') AS licenses
+  array_to_string(list_filter(list_distinct_ordered, lambda x: x IS NOT NULL), ',') AS licenses
 FROM (SELECT *, (SELECT list(n ORDER BY first_at) FROM (
-    SELECT n, min(at) AS first_at FROM (
-      SELECT unnest(l) AS n, generate_subscripts(l, 1) AS at) WHERE n IS NOT NULL GROUP BY n)) AS list_distinct_ordered
+    SELECT n, min(place) AS first_at FROM (
+      SELECT unnest(l) AS n, generate_subscripts(l, 1) AS place) WHERE n IS NOT NULL GROUP BY n)) AS list_distinct_ordered
   FROM (SELECT *, [{every}] AS l FROM paths))
 """

@@ -56,7 +56,7 @@ def features(texts: list[str]) -> Features:
         parts.append(codes(text.split()))
         rows = [x for x in text.split("\n") if x.strip()]
         lines[i] = len(rows), len(set(rows)), len(text)
-    n = np.array([len(p) for p in parts])
+    n = np.array([len(p) for p in parts], np.int64)
     flat = np.concatenate([*parts, np.zeros(0, np.int64)])
     doc = np.repeat(np.arange(len(texts)), n)
     word = flat & (WORDS - 1)

@@ -19,12 +19,13 @@ PER_CLASS = 1000
 THRESHOLD = 0.5
 # A span is reported where the marginal of a word reaches this.
 SPAN_AT = 0.5
-# A token feature marks toxic words if it explains at least so many toxic documents that no
-# better feature explains, and this share of the documents that have it is toxic.
-LEAST_DOCS = 3
+# A feature marks toxic words if this share of the documents that have it is toxic, if chance alone
+# would hardly make any feature do so well, and if it explains at least so many toxic documents that no
+# better feature explains or stands in this share of all toxic documents.
 PRECISION = 0.97
-# Or if it stands in this share of all toxic documents.
-COMMON = 0.03
+CHANCE = 0.05
+LEAST_DOCS = 3
+COMMON = 0.05
 _MARKS = ".,;:!?()[]{}<>\"'`*#$%&|_-"
 
 
@@ -192,7 +193,10 @@ def toxic_features(doc: np.ndarray, feature: np.ndarray, y: np.ndarray) -> list[
     doc, feature = pairs // FEATURES, pairs % FEATURES
     toxic = np.bincount(feature, y[doc], FEATURES)
     seen = np.bincount(feature, minlength=FEATURES)
-    fit = (toxic >= LEAST_DOCS) & (toxic >= PRECISION * seen)
+    # So many toxic documents in a row by chance, over all features that occur often enough to try.
+    tried = max(1, int((seen >= LEAST_DOCS).sum()))
+    enough = np.log(CHANCE / tried) / np.log(min(max(y.mean(), 1e-6), 0.999))
+    fit = (toxic >= max(LEAST_DOCS, enough)) & (toxic >= PRECISION * seen)
     chosen = np.flatnonzero(fit & (toxic >= COMMON * y.sum())).tolist()
     keep = fit[feature] & (y[doc] == 1) & ~np.isin(doc, doc[np.isin(feature, chosen)])
     doc, feature = doc[keep], feature[keep]
