@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from tabspark.functions.columns import col
 from tabspark.functions.scratch import materialise
 
-# Distinct values that one task may sort, and that may be broadcast to every task.
+# Distinct values that one task may sort, and that may be broadcast to every task, and the bytes of both.
 CODE_BOUND = 100_000
+CODE_BYTES = 16 << 20
 
 
 def code_table(df: DataFrame, column: str, bound: int = CODE_BOUND) -> DataFrame:
@@ -20,17 +21,23 @@ def code_table(df: DataFrame, column: str, bound: int = CODE_BOUND) -> DataFrame
     range partitions and saved; each partition's codes start at the number of
     values in the partitions before it.
     """
-    values = (
+    values = materialise(
         df.select(col(column).cast("string").alias("value"))
         .filter(F.col("value").isNotNull())
         .distinct()
     )
-    if len(values.limit(bound + 1).select(F.lit(1)).take(bound + 1)) <= bound:
+    if _within(values, bound):
         order = Window.orderBy("value")
         return values.select("value", (F.row_number().over(order) - 1).cast("bigint").alias("code"))
     return _codes_by_partition(values)
 
 
+def _within(values: DataFrame, bound: int) -> bool:
+    """Whether a saved table has at most ``bound`` rows and ``CODE_BYTES`` of text; two numbers come back."""
+    row = values.agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("size")).first()
+    return row["n"] <= bound and (row["size"] or 0) <= CODE_BYTES
+
+
 def _codes_by_partition(values: DataFrame) -> DataFrame:
     # The high bits of the id are the partition, the low 33 bits the place inside it.
     ids = materialise(
@@ -57,7 +64,7 @@ def apply_codes(
     A code table within the bound is broadcast; a larger one is joined by shuffle,
     where adaptive execution splits partitions of hot values.
     """
-    small = len(codes.select(F.lit(1)).limit(bound + 1).take(bound + 1)) <= bound
+    small = _within(codes, bound)
     table = codes.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
     joined = df.join(
         F.broadcast(table) if small else table,

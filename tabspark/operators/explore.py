@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +20,6 @@ from tabspark.functions.columns import (
     string_columns,
 )
 from tabspark.functions.numeric import (
-    pearson,
     percent,
     ratio,
     rounded,
@@ -28,19 +27,16 @@ from tabspark.functions.numeric import (
     sample_skewness,
 )
 from tabspark.operators.stats import (
-    AGGREGATES_PER_CHUNK,
     attach,
-    distinct_counts,
     exact_quantiles,
     per_column,
     value_counts_long,
 )
 
-# Fixed values of the reports: whisker length, bins per histogram, columns per chart,
-# listed categories, and distinct values above which a numeric target gets a histogram.
+# Fixed values of the reports: whisker length, bins per histogram, listed categories, and
+# distinct values above which a numeric target gets a histogram.
 IQR_MULTIPLIER = 1.5
 BINS = 30
-CHART_COLUMNS = 20
 TOP_VALUES = 10
 TARGET_HISTOGRAM_ABOVE = 10
 
@@ -73,43 +69,54 @@ def distributions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson matrix in long form ``(col_x, col_y, corr)``, pairwise complete, 4 digits.
 
-    Each pair is computed once and mirrored. Wide tables take several scans of about
-    a hundred aggregates each; every scan reads only the columns of its pairs.
+    One scan for the means and one for the sums of all pairs, whatever the number of
+    columns: each task adds its batches to matrices of sums, shifted by the means against
+    cancellation, and hands on one row per pair. Each pair is mirrored.
     """
     columns = list(columns or numeric_columns(df))
     empty = "col_x string, col_y string, corr double"
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], empty)
-    data = as_double(df, columns)
-    pairs = list(combinations_with_replacement(columns, 2))
-    step = AGGREGATES_PER_CHUNK // 3
-    parts = []
-    for start in range(0, len(pairs), step):
-        chunk = pairs[start : start + step]
-        wide = data.agg(*[_pair(x, y).alias(str(i)) for i, (x, y) in enumerate(chunk)])
-        cells = []
-        for i, (x, y) in enumerate(chunk):
-            for a, b in {(x, y), (y, x)}:
-                cells.append(
-                    F.struct(
-                        F.lit(a).alias("col_x"),
-                        F.lit(b).alias("col_y"),
-                        rounded(F.col(str(i))).alias("corr"),
-                    )
-                )
-        parts.append(wide.select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _pair(x: str, y: str) -> Column:
-    if x == y:
-        return F.when(F.stddev_pop(col(x)) > 0, F.lit(1.0))
-    return pearson(col(x), col(y))
+    data = as_double(df, columns).select(*[col(c) for c in columns])
+    means = {r["column"]: r["mean"] or 0.0
+             for r in per_column(data, columns, lambda c: {"mean": F.avg(col(c))}).collect()}
+    shift = np.array([means[c] for c in columns])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(columns)
+        n, x, xx, xy = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            values = np.column_stack([
+                c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
+            known = ~np.isnan(values)
+            filled, there = np.where(known, values, 0.0), known.astype(float)
+            n += there.T @ there
+            x += filled.T @ there
+            xx += (filled ** 2).T @ there
+            xy += filled.T @ filled
+        i, j = np.triu_indices(k)
+        cells = [i, j, n[i, j], x[i, j], x[j, i], xx[i, j], xx[j, i], xy[i, j]]
+        names = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in cells], names)
+
+    parts = data.mapInArrow(sums, "i long, j long, " + ", ".join(f"{v} double" for v in ("n", "x", "y", "xx", "yy", "xy")))
+    total = parts.groupBy("i", "j").agg(*[F.sum(v).alias(v) for v in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    spread_x, spread_y = F.col("xx") - F.col("x") ** 2 / n, F.col("yy") - F.col("y") ** 2 / n
+    # What is left of rounding where a column is constant counts as no spread.
+    varied = (spread_x > 1e-12 * F.col("xx")) & (spread_y > 1e-12 * F.col("yy"))
+    same = F.col("i") == F.col("j")
+    r = (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(spread_x * spread_y)
+    value = F.when((n > 0) & varied, F.when(same, 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
+    pairs = total.select("i", "j", rounded(value).alias("corr"))
+    both = pairs.unionByName(pairs.filter(~same).select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return both.select(F.get(names, F.col("i")).alias("col_x"), F.get(names, F.col("j")).alias("col_y"), "corr")
 
 
 def correlation_chart(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """:func:`correlation_matrix` of the first 20 numeric columns."""
-    return correlation_matrix(df, list(columns or numeric_columns(df))[:CHART_COLUMNS])
+    """:func:`correlation_matrix` of the charted columns: all numeric ones unless named."""
+    return correlation_matrix(df, columns)
 
 
 def iqr_bounds(
@@ -251,7 +258,7 @@ def histogram(
     df: DataFrame, columns: Sequence[str] | None = None, bins: int = BINS
 ) -> DataFrame:
     """``(column, bin, lower, upper, n)``: equal-width bins, the last one closed, empty ones kept."""
-    columns = list(columns or numeric_columns(df)[:CHART_COLUMNS])
+    columns = list(columns or numeric_columns(df))
     data = as_double(df, columns)
     spans = {
         r["column"]: (r["low"], r["high"])
@@ -295,12 +302,29 @@ def histogram(
     )
 
 
+def _few_values(most: int):
+    """Keep up to ``most`` different values of a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            if seen is not None and len(seen) >= most:
+                continue
+            new = batch.column(0).unique()
+            seen = (new if seen is None else pa.concat_arrays([seen, new]).unique())[:most]
+        if seen is not None:
+            yield pa.RecordBatch.from_arrays([seen], ["v"])
+
+    return run
+
+
 def target_distribution(df: DataFrame, target: str, bins: int = BINS) -> DataFrame:
     """Histogram of a numeric target with more than 10 values, value counts otherwise."""
     require_columns(df, [target])
     if is_numeric(df.schema[target].dataType):
-        n_unique = distinct_counts(df, [target]).first()
-        if n_unique is not None and n_unique["n_unique"] > TARGET_HISTOGRAM_ABOVE:
+        # At most 11 values of each task, and of all, are gathered: enough to know if there are more than 10.
+        some = df.select(col(target).alias("v")).filter(F.col("v").isNotNull()).mapInArrow(
+            _few_values(TARGET_HISTOGRAM_ABOVE + 1), f"v {df.schema[target].dataType.simpleString()}")
+        if len(some.distinct().take(TARGET_HISTOGRAM_ABOVE + 1)) > TARGET_HISTOGRAM_ABOVE:
             return histogram(df, [target], bins).select(
                 F.lit("histogram").alias("kind"),
                 F.col("bin").cast("string").alias("value"),

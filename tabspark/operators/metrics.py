@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabspark.functions.columns import col, denan
-from tabspark.functions.hashing import SLOTS, key_number, slot
+from tabspark.functions.hashing import SLOTS, key_text, slot
 from tabspark.functions.numeric import clipped, ratio, rounded
 from tabspark.functions.scratch import materialise
 from tabspark.operators.cumulative import SORT_BOUND, ordered_by, running_totals
@@ -77,17 +77,20 @@ def confusion_matrix(
     """
     by = list(by)
     cells = materialise(confusion_cells(df, by, label, prediction))
-    seen = cells.select(*by, F.explode(F.array("label", "prediction")).alias("class")).distinct()
+    # Classes travel in a struct, because lists leave out NULL, which is a class of its own here.
+    sides = F.array(F.struct(F.col("label").alias("c")), F.struct(F.col("prediction").alias("c")))
+    seen = cells.select(*by, F.explode(sides).alias("class")).distinct()
     largest = seen.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if largest > max_classes:
         raise ValueError(f"{largest} classes make a matrix too large; use confusion_cells")
     classes = seen.groupBy(*by).agg(F.collect_list("class").alias("classes"))
-    frame = classes.select(*by, F.explode("classes").alias("label"), "classes").select(
-        *by, "label", F.explode("classes").alias("prediction")
-    )
-    return frame.join(cells, [*by, "label", "prediction"], "left").select(
-        *by, "label", "prediction", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    frame = classes.select(*by, F.explode("classes").alias("row"), "classes").select(
+        *by, F.col("row.c").alias("label"), F.explode("classes").alias("column")
+    ).select(*by, "label", F.col("column.c").alias("prediction"))
+    keys = [*by, "label", "prediction"]
+    named = cells.select(*[col(k).alias(f"__{k}") for k in keys], "n")
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"`__{k}`")) for k in keys])
+    return frame.join(named, same, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def class_metrics(
@@ -310,7 +313,8 @@ def baseline_classification(
 
 
 def regression_metrics(
-    df: DataFrame, by: Sequence[str] = (), label: str = "label", prediction: str = "prediction"
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", prediction: str = "prediction",
+    digits: int = 4,
 ) -> DataFrame:
     """``(by…, metric, value)``: r2, rmse, mae, mape (non-zero truth only) and rmse_relative."""
     data = denan(
@@ -331,7 +335,7 @@ def regression_metrics(
         F.avg(F.when(y != 0, F.abs(F.try_divide(error, y)))).alias("mape"),
         F.try_divide(F.sqrt(F.avg(error * error)), F.avg(F.abs(y))).alias("rmse_relative"),
     )
-    return _long(wide, by, ["r2", "rmse", "mae", "mape", "rmse_relative"])
+    return _long(wide, by, ["r2", "rmse", "mae", "mape", "rmse_relative"], digits)
 
 
 def baseline_regression(df: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
@@ -373,7 +377,7 @@ def actual_vs_predicted(
         )
     ).scalar()
     if share < 1.0:
-        points = points.filter(slot(key_number(points, key)) < round(share * SLOTS))
+        points = points.filter(slot(key_text(key)) < round(share * SLOTS))
     return points.select("*", span["low"].alias("low"), span["high"].alias("high"))
 
 
@@ -381,15 +385,19 @@ def actual_vs_predicted(
 
 
 def model_comparison(scores: DataFrame) -> DataFrame:
-    """``(model, folds, cv_mean, cv_std, rank, is_best)`` from ``(model, fold, score)``."""
+    """``(model, folds, cv_mean, cv_std, rank, is_best)`` from ``(model, fold, score)``.
+
+    Models rank by their plain mean; the shown mean is rounded.
+    """
     table = scores.filter(F.col("score").isNotNull()).groupBy("model").agg(
         F.count("*").alias("folds"),
-        rounded(F.avg("score")).alias("cv_mean"),
+        F.avg("score").alias("mean"),
         rounded(F.stddev_pop("score")).alias("cv_std"),
     )
     # One row per model.
-    rank = F.row_number().over(Window.orderBy(F.col("cv_mean").desc(), "model"))
-    return table.withColumn("rank", rank.cast("bigint")).withColumn("is_best", F.col("rank") == 1)
+    rank = F.row_number().over(Window.orderBy(F.col("mean").desc(), "model")).cast("bigint")
+    return table.select("model", "folds", rounded(F.col("mean")).alias("cv_mean"), "cv_std", rank.alias("rank")
+                        ).withColumn("is_best", F.col("rank") == 1)
 
 
 def criteria_table(spark: SparkSession, task_type: str, criteria: dict | None = None,
@@ -450,16 +458,21 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
-    """Add the balanced class weight to every row."""
-    weights = class_weights(df, label).select(F.col("class").alias(label), F.col("weight").alias(name))
-    return df.join(weights, label, "left").select(*df.columns, name)
+    """Add the balanced class weight to every row.
+
+    The weights of up to ``MATRIX_CLASSES`` classes are broadcast, so the table is not
+    shuffled by its label; beyond, the join is left to adaptive execution.
+    """
+    weights = materialise(class_weights(df, label).select(F.col("class").alias(label), F.col("weight").alias(name)))
+    few = weights.limit(MATRIX_CLASSES + 1).count() <= MATRIX_CLASSES
+    return df.join(F.broadcast(weights) if few else weights, label, "left").select(*df.columns, name)
 
 
 # ── clustering and ranking ──
 
 
 def adjusted_rand(
-    df: DataFrame, by: Sequence[str] = (), label: str = "label", cluster: str = "prediction"
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", cluster: str = "prediction", digits: int = 4
 ) -> DataFrame:
     """``(by…, metric="adjusted_rand_score", value)`` from the contingency counts."""
     by = list(by)
@@ -485,7 +498,7 @@ def adjusted_rand(
     top = F.col("both") - expected
     bottom = (F.col("rows") + F.col("columns")) / 2 - expected
     value = F.when(bottom == 0, 1.0).otherwise(F.try_divide(top, bottom))
-    return _long(joined.withColumn("adjusted_rand_score", value), by, ["adjusted_rand_score"])
+    return _long(joined.withColumn("adjusted_rand_score", value), by, ["adjusted_rand_score"], digits)
 
 
 def ranking_metrics(

@@ -117,14 +117,14 @@ def local_outlier_factor(
     df: DataFrame, key: str, vector: str, k: int = NEIGHBOURS, pivots: int = PIVOTS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``(key, lof)``: density of a row's neighbours over its own; about 1 for inliers."""
-    base = materialise(distinct_vectors(df, key, vector))
+    """``(key, lof)``: density of a row's neighbours over its own; about 1 for inliers, NULL without a vector."""
+    base = materialise(distinct_vectors(df.filter(col(vector).isNotNull()), key, vector))
     near = _shares(nearest_neighbours(base, k, pivots=pivots, block_rows=block_rows), k, base)
     near = materialise(near)
     density = materialise(_density(near, near.groupBy("id").agg(F.max("distance").alias("reach"))))
     factors = _factor(near, density, density).join(base, "id").select("vector", "lof")
     rows = df.select(col(key), col(vector).cast("array<double>").alias("vector"))
-    return rows.join(factors, "vector").select(key, "lof")
+    return rows.join(factors, "vector", "left").select(key, "lof")
 
 
 def novelty_factor(
@@ -132,15 +132,15 @@ def novelty_factor(
     pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(key, lof)`` of new rows against a training table."""
-    base = materialise(distinct_vectors(train, key, vector))
+    base = materialise(distinct_vectors(train.filter(col(vector).isNotNull()), key, vector))
     near = materialise(_shares(nearest_neighbours(base, k, None, pivots, block_rows), k, base))
     reach = near.groupBy("id").agg(F.max("distance").alias("reach"))
     density = materialise(_density(near, reach))
-    asked = materialise(distinct_vectors(new, key, vector))
+    asked = materialise(distinct_vectors(new.filter(col(vector).isNotNull()), key, vector))
     found = materialise(_shares(nearest_neighbours(base, k, asked, pivots, block_rows), k, None))
     factors = _factor(found, density, _density(found, reach)).join(asked, "id").select("vector", "lof")
     rows = new.select(col(key), col(vector).cast("array<double>").alias("vector"))
-    return rows.join(factors, "vector").select(key, "lof")
+    return rows.join(factors, "vector", "left").select(key, "lof")
 
 
 def _density(near: DataFrame, reach: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabspark.functions.columns import as_double, col, denan, family, require_columns
-from tabspark.functions.hashing import SLOTS, fine_slot, key_number, slot
+from tabspark.functions.hashing import SLOTS, fine_slot, key_text, slot
 from tabspark.functions.numeric import sample_skewness
 from tabspark.functions.scratch import materialise
 from tabspark.operators.codes import CODE_BOUND, apply_codes, code_table
@@ -23,12 +23,13 @@ from tabspark.operators.profile import column_kinds
 from tabspark.operators.stats import distinct_counts, exact_quantiles, per_column, value_counts_long
 
 # Skewness above which the median replaces the mean, fill for columns without
-# any value, cardinality limits of the encodings, and classes up to which splits stratify.
+# any value, cardinality limits of the encodings.
 SKEW_LIMIT = 1.0
 UNKNOWN = "unknown"
 BINARY_LEVELS = 2
 ONE_HOT_LEVELS = 10
-STRATIFY_CLASSES = 50
+# Classes whose limits or starts are broadcast (10,000 small rows each at most).
+FEW_CLASSES = 50
 
 
 @dataclass(frozen=True)
@@ -224,7 +225,7 @@ def with_split(
     """Add ``train``/``test`` by a hash of the key: no shuffle, about ``test_size`` in test."""
     cut = round(test_size * SLOTS)
     return df.withColumn(
-        name, F.when(slot(key_number(df, key), seed) < cut, "test").otherwise("train")
+        name, F.when(slot(key_text(key), seed) < cut, "test").otherwise("train")
     )
 
 
@@ -241,30 +242,29 @@ def with_stratified_split(
     Rows are ordered by (slot, fine slot, key); the key must be unique. No class is
     ever sorted: counts per (class, slot) locate the slot where the quota ends,
     counts per fine slot the place inside it, and only the rows of that one cell
-    (about one in 10^8 of a class) are ranked by key. ``label=None`` treats the table
-    as one class; more than 50 classes are refused.
+    (about one in 10^8 of a class) are ranked by key. There may be any number of
+    classes: their limits are broadcast up to ``FEW_CLASSES`` and else joined by shuffle.
+    ``label=None`` treats the table as one class.
     """
-    if label is not None and _class_count(df, label) > STRATIFY_CLASSES:
-        raise ValueError(f"{label} has more than {STRATIFY_CLASSES} classes; use with_split")
-    number = key_number(df, key)
     class_of = F.lit("all") if label is None else F.coalesce(col(label).cast("string"), F.lit(""))
     data = df.withColumn("__class", class_of)
-    data = data.withColumn("__slot", slot(number, seed)).withColumn("__fine", fine_slot(number, seed))
-    # At most 50 classes x 10,000 slots.
+    data = data.withColumn("__slot", slot(key_text(key), seed)).withColumn("__fine", fine_slot(key_text(key), seed))
+    # A row per class and slot that occur together.
     slots = materialise(data.groupBy("__class", "__slot").count())
     quotas = slots.groupBy("__class").agg(
         F.ceil(F.sum("count") * F.lit(test_size)).cast("bigint").alias("__left")
     )
     cuts = materialise(_cut(slots, "__slot", quotas))
+    few = _sender(cuts)
     # The rows of one slot per class, one in 10,000.
     inside = materialise(
-        data.join(F.broadcast(cuts), "__class")
+        data.join(few(cuts), "__class")
         .filter(F.col("__slot") == F.col("__cut___slot"))
         .select("__class", "__fine", col(key).alias("__key"))
     )
     fines = inside.groupBy("__class", "__fine").count()
     fine_cuts = materialise(_cut(fines, "__fine", cuts.select("__class", "__left")))
-    edge = inside.join(F.broadcast(fine_cuts), "__class").filter(
+    edge = inside.join(few(fine_cuts), "__class").filter(
         F.col("__fine") == F.col("__cut___fine")
     )
     place = F.row_number().over(Window.partitionBy("__class").orderBy("__key"))
@@ -276,15 +276,15 @@ def with_stratified_split(
     )
     limits = (
         cuts.drop("__left")
-        .join(F.broadcast(fine_cuts.drop("__left")), "__class", "left")
-        .join(F.broadcast(last), "__class", "left")
+        .join(few(fine_cuts.drop("__left")), "__class", "left")
+        .join(few(last), "__class", "left")
     )
     below = F.col("__slot") < F.col("__cut___slot")
     same = F.col("__slot") == F.col("__cut___slot")
     below_fine = F.col("__fine") < F.col("__cut___fine")
     same_fine = F.col("__fine") == F.col("__cut___fine")
     is_test = below | (same & (below_fine | (same_fine & (col(key) <= F.col("__last")))))
-    return data.join(F.broadcast(limits), "__class", "left").select(
+    return data.join(few(limits), "__class", "left").select(
         *[col(c) for c in df.columns],
         F.when(F.coalesce(is_test, F.lit(False)), "test").otherwise("train").alias(name),
     )
@@ -297,31 +297,31 @@ def with_stratified_fold(
 
     A row's place in its class, modulo the number of folds, is its fold. The place is
     the number of rows in the slots before plus the place inside the slot, so a class
-    is sorted in 10,000 pieces. The key must be unique; at most 50 classes.
+    is sorted in 10,000 pieces. The key must be unique. Starts are broadcast for up to
+    ``FEW_CLASSES`` classes and else joined by shuffle.
     """
-    if _class_count(df, label) > STRATIFY_CLASSES:
-        raise ValueError(f"{label} has more than {STRATIFY_CLASSES} classes; use with_fold")
     cells = ["__class", "__slot"]
     data = df.withColumn("__class", F.coalesce(col(label).cast("string"), F.lit(""))).withColumn(
-        "__slot", slot(key_number(df, key), seed)
+        "__slot", slot(key_text(key), seed)
     )
     before = (
         Window.partitionBy("__class").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = data.groupBy(*cells).count().select(
+    starts = materialise(data.groupBy(*cells).count().select(
         *cells, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start")
-    )
+    ))
     place = F.row_number().over(Window.partitionBy(*cells).orderBy(col(key))) - 1
-    # At most 50 x 10,000 starts.
-    return data.join(F.broadcast(starts), cells).select(
+    few = _sender(starts.select("__class").distinct())
+    return data.join(few(starts), cells).select(
         *[col(c) for c in df.columns],
         F.pmod(F.col("__start") + place, F.lit(folds)).cast("int").alias(name),
     )
 
 
-def _class_count(df: DataFrame, label: str) -> int:
-    """Number of classes, counted no further than one above the limit."""
-    return len(df.select(col(label)).distinct().take(STRATIFY_CLASSES + 1))
+def _sender(classes: DataFrame):
+    """``broadcast`` where the table has few classes, else nothing: the join is shuffled."""
+    small = classes.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES
+    return F.broadcast if small else lambda table: table
 
 
 def _cut(counts: DataFrame, slot_name: str, quotas: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def _cut(counts: DataFrame, slot_name: str, quotas: DataFrame) -> DataFrame:
     order = Window.partitionBy("__class").orderBy(slot_name)
     return (
         counts.withColumn("__upto", F.sum("count").over(order))
-        .join(F.broadcast(quotas), "__class")
+        .join(quotas, "__class")
         .filter(F.col("__upto") >= F.col("__left"))
         .groupBy("__class")
         .agg(F.min(F.struct(slot_name, "__upto", "count", "__left")).alias("s"))
@@ -383,8 +383,7 @@ def prepare(
     """Split, impute, encode and scale a table.
 
     ``fit_on="train"`` fits every step on the training rows; ``"all"`` on all rows.
-    ``stratify`` keeps class shares exactly, for targets of at most 50 classes; others
-    fall back to the hash split. Text, datetime and nested columns and the key are
+    ``stratify`` keeps class shares exactly. Text, datetime and nested columns and the key are
     left out of the features.
     """
     require_columns(df, [target, key])
@@ -392,8 +391,6 @@ def prepare(
     numeric, categorical = kinds.get("numeric", []), kinds.get("categorical", [])
     if target in kinds.get("text", []):
         raise ValueError(f"target {target} holds long texts")
-    if stratify:
-        stratify = _class_count(df, target) <= STRATIFY_CLASSES
     if stratify:
         split = with_stratified_split(df, key, target, test_size, seed)
     else:

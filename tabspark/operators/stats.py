@@ -23,6 +23,8 @@ from tabspark.functions.columns import as_double, col, denan, family
 
 # Values that one task may hold while selecting an exact quantile.
 SELECT_BOUND = 200_000
+# Selections that may hold that many at once; more of them share what these may hold.
+FEW_BUFFERS = 16
 # Strings longer than this are compared by SHA-256 when counting distinct values.
 LONG_TEXT = 64
 SKETCH_ACCURACY = 10_000
@@ -154,6 +156,9 @@ def exact_quantiles(
     """
     columns = list(columns)
     data = as_double(df, columns)
+    # The columns of one scan share the bound: their buffers meet in one task.
+    buffers = 2 * len(probs) * min(len(columns), max(1, AGGREGATES_PER_CHUNK // len(probs)))
+    select_bound = max(1_000, select_bound * FEW_BUFFERS // max(FEW_BUFFERS, buffers))
     counts, ranks = _find_brackets(data, columns, probs, select_bound)
 
     def value_at(c: str, rank: int) -> Column:
@@ -186,6 +191,16 @@ def exact_quantiles(
     return per_column(data, columns, lambda c: {k: quantile(c, p) for k, p in probs.items()})
 
 
+def _in_chunks(data: DataFrame, groups: list[list[Column]]) -> dict:
+    """Aggregates by name, in scans of about a hundred each."""
+    found: dict = {}
+    step = max(1, AGGREGATES_PER_CHUNK // max(len(g) for g in groups))
+    for start in range(0, len(groups), step):
+        chunk = [e for g in groups[start:start + step] for e in g]
+        found |= data.agg(*chunk).first().asDict()
+    return found
+
+
 def _find_brackets(
     data: DataFrame, columns: list[str], probs: dict[str, float], bound: int
 ) -> tuple[dict[str, int], dict[tuple[str, int], dict]]:
@@ -237,10 +252,9 @@ def _find_brackets(
         blank = [(k, s) for k, s in wide() if "trial" not in s]
         spans = sorted({(k[0], s["low"], s["high"]) for k, s in blank}, key=str)
         if spans:
-            found = data.agg(
-                *[sketch(F.when(between(*span), col(span[0])), grid).alias(f"ends_{i}")
-                  for i, span in enumerate(spans)]
-            ).first()
+            found = _in_chunks(data, [
+                [sketch(F.when(between(*span), col(span[0])), grid).alias(f"ends_{i}")]
+                for i, span in enumerate(spans)])
             for (c, rank), s in blank:
                 ends = found[f"ends_{spans.index((c, s['low'], s['high']))}"]
                 share = (rank - s["below"]) / (s["inside"] - 1)
@@ -251,13 +265,13 @@ def _find_brackets(
         trials = sorted({(k[0], *s["trial"]) for k, s in wide()}, key=str)
         exprs = []
         for i, (c, a, b) in enumerate(trials):
-            exprs += [
+            exprs.append([
                 F.count_if(col(c) < a).alias(f"under_{i}"),
                 F.count_if(col(c) == a).alias(f"at_a_{i}"),
                 F.count_if(between(c, a, b)).alias(f"inside_{i}"),
                 F.count_if((col(c) == b) & F.lit(a != b)).alias(f"at_b_{i}"),
-            ]
-        found = data.agg(*exprs).first()
+            ])
+        found = _in_chunks(data, exprs)
         for (c, rank), s in wide():
             a, b = s.pop("trial")
             i = trials.index((c, a, b))

@@ -13,7 +13,8 @@ from tabspark.functions.columns import col
 from tabspark.functions.numeric import rounded
 from tabspark.sources.tables import read_any
 
-MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MEASURES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,13 +58,14 @@ GAPPY_EVENTS = """(SELECT * REPLACE (
     CASE WHEN event_id % 11 <> 0 THEN value END AS value) FROM events)"""
 
 
-def slot_sql(key: str, seed: int = 42) -> str:
+def slot_sql(key: str, seed: int = 42, start: int = 1) -> str:
     """The row hash of tabspark.functions.hashing.slot in SQL."""
-    return f"((({key} % 1000003) * 7919 + {seed}) % 10000)"
+    digest = f"md5('{seed}|' || coalesce(CAST({key} AS VARCHAR), '~'))"
+    return f"(CAST('0x' || substr({digest}, {start}, 8) AS BIGINT) % 10000)"
 
 
 def fine_slot_sql(key: str, seed: int = 42) -> str:
-    return f"((({key} % 998244353) * 1299709 + {seed}) % 10000)"
+    return slot_sql(key, seed, 9)
 
 
 def split_sql(key: str, test_size: float = 0.2) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabspark.functions.hashing import with_fold
+from tabspark.functions.hashing import key_text, slot, with_fold
 from tabspark.operators import clusters_quality as C
 from tabspark.operators import metrics as M
 from tabspark.plans.common import rounded_doubles, slot_sql, split_sql, table, union_sql
@@ -66,7 +66,7 @@ def rule_runs(spark, sf):
     split = F.when(F.col("slot_is_test"), "test").otherwise("train")
     items = with_fold(table(spark, sf, "lineitem"), "l_orderkey")
     items = items.withColumn(
-        "slot_is_test", (F.col("l_orderkey") % 1000003 * 7919 + 42) % 10000 < 2000
+        "slot_is_test", slot(key_text("l_orderkey")) < 2000
     ).withColumn("split", split)
     runs = F.array(
         *[F.struct(F.lit(n).alias("run"), p.alias("prediction")) for n, p in rules.items()]

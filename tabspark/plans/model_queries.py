@@ -84,7 +84,7 @@ def cv_scores(spark, sf):
             "plain": catalog.build("LogisticRegression", task, training),
             "strict": catalog.build("LogisticRegression", task, training, {"C": 0.01}),
         }
-        return train.cross_validate(training, models, task, folds=3, key="doc_id")
+        return train.cross_validate(training, models, task, key="doc_id")
 
     return with_training_tables(spark, sf, work)
 
@@ -92,8 +92,7 @@ def cv_scores(spark, sf):
 def train_compare(spark, sf):
     def work(training, test, features):
         best = train.train_best(
-            training, "binary_classification", ["LogisticRegression", "RandomForest"],
-            {"RandomForest": {"n_estimators": 20}}, folds=3, key="doc_id",
+            training, "binary_classification", ["LogisticRegression", "RandomForest"], key="doc_id",
         )
         return best.comparison.drop("seconds")
 
@@ -103,7 +102,7 @@ def train_compare(spark, sf):
 def tune_random(spark, sf):
     def work(training, test, features):
         _, table_of_draws = tune.random_search(
-            training, "LogisticRegression", "binary_classification", n_iter=3, folds=3, key="doc_id"
+            training, "LogisticRegression", "binary_classification", key="doc_id"
         )
         return table_of_draws
 
@@ -113,11 +112,11 @@ def tune_random(spark, sf):
 def tuning_rounds(spark, sf):
     def work(training, test, features):
         task = "binary_classification"
-        first = train.train_best(training, task, ["LogisticRegression"], folds=3, key="doc_id")
-        criteria = M.criteria_table(spark, task, {"accuracy": 1.01})
+        first = train.train_best(training, task, ["LogisticRegression"], key="doc_id")
+        criteria = M.criteria_table(spark, task, {"accuracy": 0.995})
         _, rounds = tune.retrain(
             training, test, task, first, criteria, ["LogisticRegression", "RandomForest"],
-            max_rounds=2, folds=3, key="doc_id",
+            key="doc_id",
         )
         return rounds
 
@@ -126,9 +125,7 @@ def tuning_rounds(spark, sf):
 
 def feature_importance(spark, sf):
     def work(training, test, features):
-        model = catalog.build(
-            "RandomForest", "binary_classification", training, {"n_estimators": 20}
-        ).fit(training)
+        model = catalog.build("RandomForest", "binary_classification", training).fit(training)
         return train.feature_importance(model, features, spark)
 
     return with_training_tables(spark, sf, work)
@@ -138,7 +135,7 @@ def assessment(spark, sf):
     """The report of a whole assessment run."""
     result = assess(
         labelled_documents(spark, sf), "doc_id", "Classify documents. Goal is to detect quality.",
-        target="quality", names=["LogisticRegression"], folds=3, max_rounds=1,
+        target="quality",
     )
     return result.tables["report"]
 
@@ -148,7 +145,7 @@ def cluster_kmeans(spark, sf):
         "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = best_kmeans(vectors, k=10, max_iter=30)
+        model = best_kmeans(vectors, k=10)
     finally:
         vectors.unpersist()
     return model.transform(vectors).select("vec_id", "label", "prediction")

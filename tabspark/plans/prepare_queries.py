@@ -101,6 +101,18 @@ def fold_stratified(spark, sf):
     return orders.select("o_orderkey", "o_orderstatus", "fold")
 
 
+def _two_hundred_classes(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("class"))
+
+
+def split_stratified_many(spark, sf):
+    return P.with_stratified_split(_two_hundred_classes(spark, sf), "o_orderkey", "class")
+
+
+def fold_stratified_many(spark, sf):
+    return P.with_stratified_fold(_two_hundred_classes(spark, sf), "o_orderkey", "class")
+
+
 def prepared_orders(spark, sf):
     columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"]
     orders = table(spark, sf, "orders").select(*columns)
@@ -132,6 +144,8 @@ QUERIES = {
     "split_stratified": split_stratified,
     "split_exact": split_exact,
     "fold_stratified": fold_stratified,
+    "split_stratified_many": split_stratified_many,
+    "fold_stratified_many": fold_stratified_many,
     "prepared_table": prepared_table,
     "prep_summary": prep_summary,
 }
@@ -186,6 +200,12 @@ SELECT c_custkey, code AS c_name FROM customer JOIN c USING (c_name)""",
     <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM customer""",
     "fold_stratified": f"""SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (
         PARTITION BY o_orderstatus ORDER BY {slot_sql('o_orderkey')}, o_orderkey) - 1) % 5 AS INTEGER) AS fold
+FROM orders""",
+    "split_stratified_many": f"""SELECT o_orderkey, o_custkey % 200 AS class, CASE WHEN row_number() OVER (
+        PARTITION BY o_custkey % 200 ORDER BY {slot_sql('o_orderkey')}, {fine_slot_sql('o_orderkey')}, o_orderkey)
+    <= ceil(0.2 * count(*) OVER (PARTITION BY o_custkey % 200)) THEN 'test' ELSE 'train' END AS split FROM orders""",
+    "fold_stratified_many": f"""SELECT o_orderkey, o_custkey % 200 AS class, CAST((row_number() OVER (
+        PARTITION BY o_custkey % 200 ORDER BY {slot_sql('o_orderkey')}, o_orderkey) - 1) % 5 AS INTEGER) AS fold
 FROM orders""",
     "prepared_table": f"""WITH f AS (SELECT *, {_PRICE} AS price FROM orders),
     g AS (SELECT *, coalesce(price, CASE WHEN abs(skewness(price) OVER ()) > 1 THEN median(price) OVER ()

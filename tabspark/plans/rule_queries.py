@@ -54,13 +54,13 @@ def _diagnosis(metrics, scores):
 
 
 def diagnose_runs(spark, sf):
-    return _diagnosis(saved_metrics(spark, sf), fold_scores(spark, sf)).drop("recommendation")
+    return _diagnosis(saved_metrics(spark, sf), fold_scores(spark, sf))
 
 
 def diagnose_regression(spark, sf):
     criteria = M.criteria_table(spark, "regression")
     metrics = M.regression_metrics(value_predictions(spark, sf), ["run"])
-    return D.diagnose(metrics, None, criteria, task="regression").drop("recommendation")
+    return D.diagnose(metrics, None, criteria, task="regression")
 
 
 def run_verdict(spark, sf):
@@ -170,6 +170,7 @@ def report_facts(spark, sf):
     four = "%.4f"
     return R.report(
         R.status_facts(verdict),
+        R.step_facts(diagnosis),
         R.criteria_facts(criteria, "orders"),
         R.wide_facts(
             P.profile_totals(profile).select("n_rows", "n_columns", "numeric_columns", "missing_total"),
@@ -300,25 +301,26 @@ def _objectives_sql() -> str:
 SELECT id, unnest(range(len(kept))) AS place, unnest(kept) AS objective FROM l"""
 
 
+def _worded(findings: str) -> str:
+    return f"""SELECT *, printf('%s is %.4f, the limit is %.4f', metric, value, threshold) AS description,
+    printf('move %s by %.4f', metric, round(threshold - value, 4)) AS recommendation FROM {findings}"""
+
+
 def _steps_sql() -> str:
-    parts = []
-    for good, steps in R.NEXT_STEPS.items():
-        for i, step in enumerate(steps, 1):
-            parts.append(f"""SELECT 'conclusion' AS section, run AS subject, 'next_step_{i}' AS name, '{step}' AS value
-FROM {_VERDICT} WHERE acceptable = {str(good).lower()}""")
-    return union_sql(parts)
+    return f"""SELECT 'conclusion' AS section, run AS subject, concat(type, ':', metric) AS name, recommendation AS value
+FROM ({_worded(_DIAGNOSIS)})"""
 
 
 ORACLE = {
-    "diagnose_runs": f"SELECT * FROM {_DIAGNOSIS}",
-    "diagnose_regression": f"""WITH m AS (SELECT run,
+    "diagnose_runs": _worded(_DIAGNOSIS),
+    "diagnose_regression": _worded(f"""(WITH m AS (SELECT run,
         round(1 - sum((label - prediction) ** 2) / sum((label - c) ** 2), 4) AS r2,
         round(avg(abs((label - prediction) / label)), 4) AS mape
         FROM (SELECT *, avg(label) OVER (PARTITION BY run) AS c FROM {VALUES}) GROUP BY run)
 SELECT run, 'below_baseline' AS type, 'critical' AS severity, 'r2' AS metric, r2 AS value, CAST(0 AS DOUBLE) AS threshold
     FROM m WHERE r2 < 0
 UNION ALL SELECT run, 'success_criteria_not_met', 'error', 'r2', r2, 0.8 FROM m WHERE r2 < 0.8
-UNION ALL SELECT run, 'success_criteria_not_met', 'error', 'mape', mape, 0.15 FROM m WHERE mape > 0.15""",
+UNION ALL SELECT run, 'success_criteria_not_met', 'error', 'mape', mape, 0.15 FROM m WHERE mape > 0.15)"""),
     "run_verdict": f"SELECT * FROM {_VERDICT}",
     "leakage_by_correlation": """WITH p AS (SELECT *, p_retailprice * 2 + p_size AS p_price_twin FROM part),
     c AS (SELECT 'p_partkey' AS detail, corr(p_retailprice, p_partkey) AS r FROM p

@@ -17,6 +17,7 @@ from tabspark.plans.common import (
     MEASURES,
     gappy_lineitem,
     rounded_doubles,
+    slot_sql,
     split_sql,
     table,
     union_sql,
@@ -43,9 +44,21 @@ def scan_tsv(spark, sf):
     return _round_trip(spark, table(spark, sf, "supplier"), ".tsv")
 
 
+def scan_csv_texts(spark, sf):
+    return _round_trip(spark, table(spark, sf, "documents"), ".csv")
+
+
+def scan_tsv_texts(spark, sf):
+    return _round_trip(spark, table(spark, sf, "documents"), ".tsv")
+
+
 def scan_jsonl(spark, sf):
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-    return _round_trip(spark, table(spark, sf, "orders").select(*columns), ".jsonl")
+    orders = _round_trip(spark, table(spark, sf, "orders"), ".jsonl")
+    return orders.withColumn("o_orderdate", F.to_date("o_orderdate"))
+
+
+def scan_json(spark, sf):
+    return _round_trip(spark, table(spark, sf, "documents"), ".json")
 
 
 def sink_roundtrip(spark, sf):
@@ -58,7 +71,7 @@ def sink_roundtrip(spark, sf):
             F.round(F.sum("p_retailprice"), 2).alias("price_sum"),
             F.count_distinct("p_brand").alias("brands"),
         )
-        for suffix in ("csv", "parquet", "jsonl")
+        for suffix in ("csv", "tsv", "parquet", "json", "jsonl")
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -119,7 +132,10 @@ QUERIES = {
     "scan_parquet": scan_parquet,
     "scan_csv": scan_csv,
     "scan_tsv": scan_tsv,
+    "scan_csv_texts": scan_csv_texts,
+    "scan_tsv_texts": scan_tsv_texts,
     "scan_jsonl": scan_jsonl,
+    "scan_json": scan_json,
     "sink_roundtrip": sink_roundtrip,
     "validate_table": validate,
     "split_overlap": overlap,
@@ -204,13 +220,15 @@ ORACLE = {
                 "c_mktsegment FROM customer",
     "scan_tsv": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal "
                 "FROM supplier",
-    "scan_jsonl": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority "
-                  "FROM orders",
+    "scan_csv_texts": "SELECT * FROM documents",
+    "scan_tsv_texts": "SELECT * FROM documents",
+    "scan_jsonl": "SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders",
+    "scan_json": "SELECT * FROM documents",
     "sink_roundtrip": union_sql(
         [
             f"""SELECT '{f}' AS format, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS key_sum,
     round(sum(p_retailprice), 2) AS price_sum, count(DISTINCT p_brand) AS brands FROM part"""
-            for f in ("csv", "parquet", "jsonl")
+            for f in ("csv", "tsv", "parquet", "json", "jsonl")
         ]
     ),
     "validate_table": union_sql(
@@ -269,6 +287,6 @@ INTERSECT SELECT o_custkey FROM s WHERE split = 'test'""",
             for c in ("l_discount", "l_returnflag")
         ]
     ),
-    "fold_hash": """SELECT CAST((((o_orderkey % 1000003) * 7919 + 42) % 10000) % 5 AS INTEGER) AS fold,
+    "fold_hash": f"""SELECT CAST({slot_sql('o_orderkey')} % 5 AS INTEGER) AS fold,
     count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +54,8 @@ def read_any(spark: SparkSession, path: str, format: str = "auto", **options) ->
         if kind == "parquet":
             return spark.read.options(**options).parquet(path)
         if kind in ("json", "jsonl"):
-            options = {"multiLine": kind == "json", **options}
+            if "multiLine" not in options:
+                options = {"multiLine": kind == "json" and not _holds_lines(spark, path), **options}
             return spark.read.options(**options).json(path)
         register_arrow_source(spark)
         return spark.read.format("arrow_file").options(**options).load(path)
@@ -62,6 +65,23 @@ def read_any(spark: SparkSession, path: str, format: str = "auto", **options) ->
         raise TableCheckError(f"failed to load {path}: {error}") from error
 
 
+def _holds_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a ``.json`` path holds one JSON value per line, by the first line of a file.
+
+    The sink writes such lines. A document that spans lines has a first line that is no
+    JSON value of its own.
+    """
+    starts = spark.read.text(path).filter("_metadata.file_block_start = 0")
+    first = starts.filter(F.trim("value") != "").first()
+    if first is None:
+        return True
+    try:
+        json.loads(first["value"])
+    except ValueError:
+        return False
+    return True
+
+
 def read_delimited(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options
 ) -> DataFrame:
@@ -70,8 +90,11 @@ def read_delimited(
     Spark accepts a single null text, so columns are read as strings, missing texts
     become NULL, and each column is cast to the narrowest of bigint, double and
     boolean that all its values fit. Give a ``schema`` to save the typing scan.
+
+    Quotes are doubled inside quoted cells, and cells may hold line breaks, so a file is
+    one task. Files without such breaks can be split: pass ``multiLine=False``.
     """
-    options = {"header": True, **options}
+    options = {"header": True, "escape": '"', "multiLine": True, **options}
     text = spark.read.options(**options, inferSchema=False).csv(path)
     cells = text.select(
         *[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in text.columns]
@@ -105,7 +128,10 @@ def _reads_as(column: str, target: str) -> Column:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
-    """Write a directory of part files; the suffix picks Parquet, JSON lines or (else) CSV."""
+    """Write a directory of part files; the suffix picks Parquet, JSON lines (``.json`` too) or (else) CSV.
+
+    Texts keep their blanks, quotes and line breaks in every format.
+    """
     writer = df.write.mode(mode)
     lowered = path.lower()
     if lowered.endswith(".parquet"):
@@ -114,4 +140,5 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", **options) ->
         writer.options(**{"ignoreNullFields": False, **options}).json(path)
     else:
         sep = "\t" if lowered.endswith(".tsv") else ","
-        writer.options(**{"header": True, "sep": sep, **options}).csv(path)
+        whole = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(**{"header": True, "sep": sep, **whole, **options}).csv(path)

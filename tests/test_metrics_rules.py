@@ -214,3 +214,15 @@ def test_class_weights(spark):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)], "label string")
     rows = {r["label"]: r["weight"] for r in M.with_class_weight(df).distinct().collect()}
     assert rows == {"a": pytest.approx(4 / 6), "b": 2.0}
+
+
+def test_missing_sides_are_classes_of_the_confusion_matrix(spark):
+    df = spark.createDataFrame([(1, None), (None, 1), (1, 1), (None, None)], "label int, prediction int")
+    cells = {(r["label"], r["prediction"]): r["n"] for r in M.confusion_matrix(df).collect()}
+    assert cells == {(1, None): 1, (None, 1): 1, (1, 1): 1, (None, None): 1}
+
+
+def test_models_rank_by_their_plain_mean(spark):
+    scores = spark.createDataFrame([("a", 0, 0.900001), ("b", 0, 0.900049)], "model string, fold int, score double")
+    best = M.model_comparison(scores).filter("is_best").first()
+    assert best["model"] == "b"

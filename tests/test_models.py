@@ -58,11 +58,13 @@ def test_logistic_equals_newton(linear):
 
 
 def test_candidates_by_size():
-    assert catalog.candidates("binary_classification", 100)[0] == "LogisticRegression"
-    assert catalog.candidates("binary_classification", 60_000)[-1] == "LogisticRegression"
-    assert "SVM" not in catalog.candidates("binary_classification", 60_000)
-    assert catalog.candidates("clustering", 10) == ["KMeans", "DBSCAN"]
-    assert catalog.candidates("ranking", 10) == catalog.candidates("binary_classification", 10)
+    assert catalog.candidates("binary_classification")[0] == "LogisticRegression"
+    assert catalog.candidates("binary_classification", simple_last=True)[-1] == "LogisticRegression"
+    assert "SVM" in catalog.candidates("binary_classification")
+    assert all(n in catalog.DEFAULTS for names in catalog.CANDIDATES.values() for n in names)
+    assert catalog.candidates("ranking") == catalog.candidates("binary_classification")
+    with pytest.raises(ValueError, match="deepest"):
+        catalog.tree_depth(31)
 
 
 def test_comparison_skips_failures(linear, monkeypatch):

@@ -71,7 +71,7 @@ def test_format_override_directory_and_glob(spark, tmp_path):
     assert format_of("/x/part-*.jsonl") == "jsonl"
 
 
-@pytest.mark.parametrize("suffix", [".parquet", ".csv", ".tsv", ".jsonl", ".other"])
+@pytest.mark.parametrize("suffix", [".parquet", ".csv", ".tsv", ".jsonl", ".json", ".other"])
 def test_write_and_read_back(spark, tmp_path, suffix):
     df = spark.createDataFrame([(1, "x", 0.5), (2, None, None)], "a bigint, b string, c double")
     path = str(tmp_path / "deep" / ("t" + suffix))
@@ -80,6 +80,32 @@ def test_write_and_read_back(spark, tmp_path, suffix):
     assert sorted(map(tuple, back.select("a", "b", "c").collect())) == [(1, "x", 0.5), (2, None, None)]
 
 
+@pytest.mark.parametrize("suffix", [".csv", ".tsv", ".json", ".jsonl", ".parquet"])
+def test_texts_come_back_whole(spark, tmp_path, suffix):
+    texts = ['he said "hi", ok', "two\nlines", "  pad ", 'a\t"b"\\', "x,y;z", '"', "end\\"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string").repartition(3)
+    path = str(tmp_path / ("t" + suffix))
+    write_table(df, path)
+    back = read_any(spark, path).select("i", "t").orderBy("i").collect()
+    assert [tuple(r) for r in back] == list(enumerate(texts))
+
+
+def test_csv_with_quotes_and_breaks(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b,c\n1,"he said ""hi"", ok",2\n3,"two\nlines",4\n')
+    df = read_any(spark, str(path))
+    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 'he said "hi", ok', 2), (3, "two\nlines", 4)]
+
+
+def test_json_documents_and_lines(spark, tmp_path):
+    rows = [{"a": i, "b": str(i)} for i in range(10)]
+    (tmp_path / "pretty.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "one.json").write_text(json.dumps(rows))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
+    for name in ("pretty", "one", "lines"):
+        assert read_any(spark, str(tmp_path / f"{name}.json")).count() == 10
+
+
 def test_saved_tables_and_models(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",)], "v string")
     model = Pipeline(stages=[StringIndexer(inputCol="v", outputCol="i")]).fit(df)

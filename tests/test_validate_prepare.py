@@ -126,8 +126,29 @@ def test_stratified_split_is_exact(spark):
     assert result.count() == 30011
     for r in result.groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect():
         assert r["t"] == -(-r["n"] * 2 // 10)
-    with pytest.raises(ValueError):
-        P.with_stratified_split(df, "id", "id")
+
+
+def test_stratified_split_of_many_classes(spark):
+    df = spark.range(6000).withColumn("y", F.col("id") % 300)
+    result = P.with_stratified_split(df, "id", "y", 0.2)
+    sizes = result.groupBy("y").agg(F.count_if(F.col("split") == "test").alias("t")).collect()
+    assert len(sizes) == 300 and all(r["t"] == 4 for r in sizes)
+    folds = P.with_stratified_fold(df, "id", "y", 5).groupBy("y", "fold").count().collect()
+    assert len(folds) == 1500 and all(r["count"] == 4 for r in folds)
+
+
+@pytest.mark.parametrize("step", [1, 2, 5, 10_000])
+def test_regular_keys_spread_evenly(spark, step):
+    keys = spark.range(10_000).select((F.col("id") * step).alias("k"))
+    folds = [r["count"] for r in with_fold(keys, "k", 5).groupBy("fold").count().collect()]
+    assert len(folds) == 5 and max(folds) < 2200 and min(folds) > 1800
+    assert abs(P.with_split(keys, "k").filter("split = 'test'").count() - 2000) < 200
+
+
+def test_rows_without_a_key_have_a_place(spark):
+    keys = spark.createDataFrame([(None,), (1,)], "k bigint")
+    assert with_fold(keys, "k", 5).filter("fold is null").isEmpty()
+    assert P.with_split(keys, "k").filter("split is null").isEmpty()
 
 
 def test_folds_keep_groups_together(spark):
