@@ -171,7 +171,7 @@ paths AS (
   SELECT doc_id, coalesce(ids, '') AS ids, ' ' || coalesce(ids, '') || ' ' AS path
   FROM docs LEFT JOIN listed USING (rowid_))
 SELECT doc_id, CASE {license_} END AS license, CASE {reusable} END AS reusable, replace(ids, ' ', ',') AS sentence_ids,
-  array_to_string(list_filter(list_distinct_ordered, lambda x: x IS NOT NULL), ',') AS licenses
+  coalesce(array_to_string(list_filter(list_distinct_ordered, lambda x: x IS NOT NULL), ','), '') AS licenses
 FROM (SELECT *, (SELECT list(n ORDER BY first_at) FROM (
     SELECT n, min(place) AS first_at FROM (
       SELECT unnest(l) AS n, generate_subscripts(l, 1) AS place) WHERE n IS NOT NULL GROUP BY n)) AS list_distinct_ordered
