@@ -38,3 +38,14 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table written by :func:`materialise`, once nothing reads it any more."""
+    folder = shared_folder(df.sparkSession)
+    for file in df.inputFiles():
+        parent = file.rsplit("/", 1)[0]
+        if parent.rsplit("/", 1)[-1].startswith("step-") and folder.rstrip("/").split(":")[-1].lstrip("/") in parent:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            return

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.functions.scratch import materialise
+from tabspark.functions.scratch import materialise, release
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)`` for ``nodes(id)`` and undirected ``edges(a, b)``; named by the smallest id.
 
     Each round links neighbours to the smallest one nearby, first upwards, then
-    downwards; the graph becomes one star per component. Every round is saved.
+    downwards; the graph becomes one star per component. Every round is saved, and the
+    round before it deleted.
     """
     links = materialise(_clean(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     state = _checksum(links)
@@ -24,7 +25,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         low = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialise(_clean(down.unionByName(low.select("u", F.col("m").alias("v")))))
+        old, links = links, materialise(_clean(down.unionByName(low.select("u", F.col("m").alias("v")))))
+        release(old)
         before, state = state, _checksum(links)
         if state == before:
             break
