@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tabspark.operators import explore as E
 from tabspark.plans.common import (

@@ -100,13 +100,17 @@ def train_compare(spark, sf):
 
 
 def tune_random(spark, sf):
-    def work(training, test, features):
-        _, table_of_draws = tune.random_search(
-            training, "LogisticRegression", "binary_classification", key="doc_id"
-        )
-        return table_of_draws
-
-    return with_training_tables(spark, sf, work)
+    """Twenty drawn ridge penalties for the price of every line item, over five folds."""
+    features = ["l_quantity", "l_discount"]
+    items = table(spark, sf, "lineitem").select(
+        "l_orderkey", *features, F.col("l_extendedprice").alias("label"))
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(items)
+    ready = ready.select("l_orderkey", "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _, table_of_draws = tune.random_search(ready, "LinearRegression", "regression", key="l_orderkey")
+    finally:
+        ready.unpersist()
+    return table_of_draws
 
 
 def tuning_rounds(spark, sf):
@@ -135,7 +139,7 @@ def assessment(spark, sf):
     """The report of a whole assessment run."""
     result = assess(
         labelled_documents(spark, sf), "doc_id", "Classify documents. Goal is to detect quality.",
-        target="quality",
+        target="quality", names=["LogisticRegression", "RandomForest"],
     )
     return result.tables["report"]
 
