@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -14,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm.common import slices, strings
+from tabspark.llm.token_store import little
 
 SPACE = "▁"
 # Characters of new words that are indexed together, words that a worker remembers, and the longest of them.
-INDEX_CHARS = 1 << 20
-KEEP = 600_000
+INDEX_CHARS = 1 << 18
+KEEP = 450_000
 LONGEST_KEPT = 64
 # Numbers from here on stand for characters without a piece.
 _NO_PIECE = 1 << 24
@@ -60,6 +60,10 @@ class Vocabulary:
             raise ValueError("a model with byte fallback is needed")
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a model whose pieces have blanks only in front is needed")
+        # What each id stands for in a text, and which ids are bytes.
+        self.spelled = [" \u2047 " if i == self.unknown else self.text_of.get(i, "").replace(SPACE, " ")
+                        for i in range(size)]
+        self.is_byte = np.array([i in self.byte_of for i in range(size)])
         self.longest = max(map(len, self.pieces))
         # Pieces as rows of code points, sorted, for the binary search.
         self.names = sorted(self.pieces)
@@ -103,7 +107,7 @@ class Vocabulary:
         # Suffixes are compared by their first ``longest`` code points, as fixed-width text.
         table = np.lib.stride_tricks.sliding_window_view(padded, self.longest)[order]
         # The mark after a word is no part of any piece, so what follows it does not matter.
-        text = np.ascontiguousarray(table.astype(np.uint32)).view(f"<U{self.longest}").ravel()
+        text = np.ascontiguousarray(table).view(f"<U{self.longest}").ravel()
         low = np.searchsorted(text, self.sorted, "left")
         above = np.array([p + "\U0010ffff" if len(p) < self.longest else p for p in self.names])
         high = np.searchsorted(text, above, "right")
@@ -177,34 +181,38 @@ class Vocabulary:
                 i = back[i]
             out.append(array("I", found[::-1]).tobytes())
             base += n + 1
-        if len(pairs) > 1_500_000:
+        if len(pairs) > 500_000:
             pairs.clear()
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces with blanks restored, runs of byte pieces as UTF-8, the first blank dropped."""
-        parts, run = [], bytearray()
-        for i in ids.tolist():
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                parts.append(_utf8(run))
-                run = bytearray()
-            parts.append(" ⁇ " if i == self.unknown else self.text_of.get(i, "").replace(SPACE, " "))
-        if run:
-            parts.append(_utf8(run))
+        if not len(ids):
+            return ""
+        bytes_ = self.is_byte[ids]
+        # Runs of byte pieces and of others, in turn.
+        edges = np.r_[0, np.flatnonzero(bytes_[1:] != bytes_[:-1]) + 1, len(ids)].tolist()
+        numbers, spelled, kind, parts = ids.tolist(), self.spelled, bool(bytes_[0]), []
+        for start, stop in zip(edges, edges[1:]):
+            run = numbers[start:stop]
+            parts.append(_utf8(bytes([self.byte_of[i] for i in run])) if kind
+                         else "".join(map(spelled.__getitem__, run)))
+            kind = not kind
         text = "".join(parts)
         return text[1:] if text[:1] == " " else text
 
 
-def _utf8(run: bytearray) -> str:
+def _utf8(run: bytes) -> str:
     """Bytes as UTF-8, each byte that is not part of a character as the replacement character."""
+    try:
+        return run.decode()
+    except UnicodeDecodeError:
+        pass
     out, at = [], 0
     while at < len(run):
         for size in (1, 2, 3, 4):
             try:
-                out.append(bytes(run[at:at + size]).decode())
+                out.append(run[at:at + size].decode())
                 at += size
                 break
             except UnicodeDecodeError:
@@ -243,20 +251,22 @@ class Encoder:
             nul = self.known["\0"]
             self.known = dict(list(self.known.items())[:KEEP // 2]) | {"\0": nul}
         cut = [self.words(t) for t in texts]
-        new = list(dict.fromkeys(w for ws in cut for w in ws if w not in self.known))
-        fresh: dict[str, bytes] = {}
+        known = self.known
+        new = sorted(set().union(*cut).difference(known))
         batch, size = [], 0
         for w in new:
             batch.append(w)
             size += len(w) + 1
             if size >= INDEX_CHARS:
-                fresh.update(zip(batch, self.vocabulary.encode_words(batch), strict=True))
+                known.update(zip(batch, self.vocabulary.encode_words(batch), strict=True))
                 batch, size = [], 0
         if batch:
-            fresh.update(zip(batch, self.vocabulary.encode_words(batch), strict=True))
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST_KEPT)
-        known = self.known
-        return [b"".join([known[w] if w in known else fresh[w] for w in ws]) for ws in cut]
+            known.update(zip(batch, self.vocabulary.encode_words(batch), strict=True))
+        found = [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        for w in new:
+            if len(w) > LONGEST_KEPT:
+                del known[w]
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -267,46 +277,35 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids`` of every whole text; null texts count as empty and have no id.
 
-    ``model`` is a SentencePiece BPE model with byte fallback, identity normalisation and a
-    blank put in front. Null keys and repeated rows give a row each. No shuffle.
+    ``ids`` is binary: little-endian unsigned 32-bit integers. ``model`` is a SentencePiece
+    BPE model with byte fallback, identity normalisation and a blank put in front. Null
+    keys and repeated rows give a row each. No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
         for batch in slices(batches, "text"):
-            found = own.encode(strings(batch.column("text")))
-            ends = np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(found), "u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
+            found = [little(x) for x in own.encode(strings(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id, ids, text``: the texts of id lists; null lists have empty texts."""
+    """``doc_id, ids, text``: the texts of binary ids; null ids have empty texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder(model).vocabulary
         for batch in batches:
-            ids = batch.column("ids")
-            texts = [vocabulary.decode(np.asarray(x.values)) if x.is_valid else "" for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(texts, pa.string())],
-                                             ["doc_id", "ids", "text"])
+            texts = [vocabulary.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
     """Counts and checksums of ids, and the hash of the decoded text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(np.asarray(x.values).astype("<u4").tobytes()) for x in batch.column("ids")]
-            counts = batch.column("ids").value_lengths().cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), counts, pa.array(sums, pa.int64()), batch.column("text")],
-                ["doc_id", "n_ids", "ids_crc32", "text"])
-
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_ids long, ids_crc32 long, text string").select(
-        "doc_id", "n_ids", "ids_crc32", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"))
