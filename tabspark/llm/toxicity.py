@@ -162,15 +162,14 @@ class Model:
         return self.documents(ends, p), found
 
 
-_CACHE: dict[int, WordCodes] = {}
+_LAST: list = []
 
 
 def _emissions(model: Model) -> WordCodes:
-    """The worker's dictionary from a word to its log odds under a model."""
-    if id(model) not in _CACHE:
-        _CACHE.clear()
-        _CACHE[id(model)] = WordCodes(model.emission(), np.float64)
-    return _CACHE[id(model)]
+    """The worker's dictionary from a word to its log odds under a model; the model is held with it."""
+    if not _LAST or _LAST[0] is not model:
+        _LAST[:] = [model, WordCodes(model.emission(), np.float64)]
+    return _LAST[1]
 
 
 def aggregate(ends: np.ndarray, p: np.ndarray) -> np.ndarray:
