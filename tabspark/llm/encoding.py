@@ -63,7 +63,8 @@ class Encoder:
     The byte-level splitter attaches one space to the word after it, so a space between two
     non-blank characters always begins a new pre-token and the ids of a text are the ids of
     its chunks in a row. A chunk of letters is one pre-token and goes to the tokenizer's model
-    at once. Texts of tokenizers with another splitter are encoded in one call.
+    at once. Texts that hold an added token, which the library encodes as that token, and texts
+    of tokenizers with another splitter are encoded in one call.
     """
 
     def __init__(self, path: str, keep: int = 700_000):
@@ -71,19 +72,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536
         kind = json.loads(self.tokenizer.to_str())
         split = kind.get("pre_tokenizer") or {}
         self.cut = (kind["model"]["type"] == "BPE" and split.get("type") == "ByteLevel"
                     and split.get("use_regex", True) and not split.get("add_prefix_space", True)
                     and not kind.get("normalizer") and not kind["model"].get("ignore_merges"))
+        # The library takes added tokens out of a text before it splits the rest, inside words too.
+        added = [re.escape(t["content"]) for t in kind.get("added_tokens") or []]
+        self.added = re.compile("|".join(added)) if added else None
         self.keep, self.known = keep, _Chunks(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as unsigned 32-bit integers in the machine's order."""
         known = self.known
-        if not self.cut:
+        if not self.cut or self.added and self.added.search(text):
             return known.whole(text)
         if len(known) > self.keep or len(known.marks) > 10_000:
             # What came first is met most often.
