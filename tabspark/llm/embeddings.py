@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,14 @@ SHARED = 8.0
 BUCKET = 256
 # The largest share of the sphere that a filter may hold; larger ones would be few and alike.
 LARGEST_CAP = 0.03
+# Filters that a vector may exceed on average.
+MOST_CAPS = 2000
+# Filters up to this number are independent; beyond, they are so many product codes with rotations of their own.
+# Filters of one product code have words in common, so many pairs that share none stand beside pairs that share many.
+ONE_BLOCK = 8192
+CODES = 16
+# Vectors of fewer dimensions have too little in a block for a product code.
+LEAST_PRODUCT = 16
 # Vectors that are compared with each other at once; fuller filters are cut into blocks of this size.
 BLOCK = 1024
 # Full filters up to this number are broadcast (a few bytes each); beyond, they are joined by shuffle.
@@ -27,19 +35,57 @@ FULL_FILTERS = 50_000
 MARGIN = 1e-9
 
 
-def caps_needed(share: float, cosine: float, shared: float = SHARED) -> float:
+@functools.lru_cache(maxsize=64)
+def _angles(dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles, and the share of the sphere that lies within each of them of a direction; 2 dimensions or more."""
+    edges = np.linspace(0, math.pi, 40_001)
+    middles = (edges[1:] + edges[:-1]) / 2
+    weight = np.exp((dimension - 2) * np.log(np.sin(middles)))
+    within = np.r_[0.0, np.cumsum(weight)]
+    return edges, within / within[-1]
+
+
+def cap_height(share: float, dimension: int) -> float:
+    """The cosine to its centre at which a cap holds ``share`` of the sphere."""
+    edges, within = _angles(dimension)
+    first = max(1, int(np.searchsorted(within, share)))
+    low, high = within[first - 1], within[first]
+    return math.cos(edges[first - 1] + (edges[first] - edges[first - 1]) * (share - low) / (high - low))
+
+
+def caps_needed(share: float, cosine: float, dimension: int, shared: float = SHARED) -> float:
     """Filters a vector must exceed on average so that two vectors at ``cosine`` share ``shared`` of them.
 
     For caps that hold ``share`` of the sphere: the chance that a neighbour of a vector in a cap
-    lies in it too, in the normal approximation, by summing over the height in the cap.
+    lies in it too, by summing over the angles in the cap; infinite if none can. The part of
+    the neighbour across the vector is uniform on a sphere of one dimension less.
     """
-    normal = NormalDist()
-    t = normal.inv_cdf(1 - share)
-    heights = np.linspace(t, t + 8, 2000)
-    weight = np.exp(-heights ** 2 / 2)
-    spread = math.sqrt(1 - cosine ** 2)
-    both = sum(w * (1 - normal.cdf((t - cosine * h) / spread)) for h, w in zip(heights, weight, strict=True))
-    return shared * weight.sum() / both
+    t = cap_height(share, dimension)
+    angle = (np.arange(4000) + 0.5) / 4000 * math.acos(t)
+    weight = np.exp((dimension - 2) * (np.log(np.sin(angle)) - math.log(math.sin(angle[-1]))))
+    across = (t - cosine * np.cos(angle)) / (math.sqrt(1 - cosine ** 2) * np.sin(angle))
+    edges, within = _angles(dimension - 1)
+    both = (weight * np.interp(np.arccos(np.clip(across, -1, 1)), edges, within)).sum()
+    return shared * weight.sum() / both if both > 0 else math.inf
+
+
+def filters_of(dimension: int, most: int, cosine: float = COSINE, shared: float = SHARED,
+               bucket: int = BUCKET) -> tuple[float, float] | None:
+    """Share of the sphere in a filter and filters of a vector, where the largest label has ``most`` vectors.
+
+    Caps that neighbours seldom share are made larger. None where even the largest would need
+    too many, as in few dimensions: all vectors are in one filter then.
+    """
+    if dimension < 3 or not 0 <= cosine < 1:
+        return None
+    share = min(LARGEST_CAP, max(1e-8, bucket / most))
+    while True:
+        caps = caps_needed(share, cosine, dimension, shared)
+        if caps <= MOST_CAPS and (dimension >= LEAST_PRODUCT or caps / share <= ONE_BLOCK):
+            return share, caps
+        if share == LARGEST_CAP:
+            return None
+        share = min(LARGEST_CAP, 2 * share)
 
 
 class Code:
@@ -63,7 +109,7 @@ class Code:
             w = random.standard_normal((words, b - a))
             norm = np.linalg.norm(w, axis=1, keepdims=True)
             self.words.append(w / norm * math.sqrt((b - a) / dimension))
-        self.threshold = NormalDist().inv_cdf(1 - share) / math.sqrt(dimension)
+        self.threshold = cap_height(share, dimension)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every exceeded filter, by rows of unit vectors.
@@ -91,6 +137,26 @@ class Code:
         return rows, names
 
 
+def codes_of(dimension: int, share: float, caps: float, seed: int = 11) -> list[Code]:
+    """One code of independent filters, or several product codes that have the filters together."""
+    if caps / share <= ONE_BLOCK:
+        return [Code(dimension, share, caps, blocks=1, seed=seed)]
+    return [Code(dimension, share, caps / CODES, seed=seed + 1000 * i) for i in range(CODES)]
+
+
+def exceeded(codes: list[Code], unit: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of every exceeded filter of all codes, by rows of unit vectors."""
+    rows, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(unit), step):
+        before = 0
+        for code in codes:
+            r, c = code.decode(unit[at:at + step])
+            rows.append(r + at)
+            names.append(c + before)
+            before += len(code.words[0]) ** code.blocks
+    return np.concatenate(rows), np.concatenate(names)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of doubles; null vectors and null components as NaN, short ones padded with NaN."""
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
@@ -111,8 +177,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listed(share: float, caps: float, seed: int):
-    codes: dict[int, Code] = {}
+def _listed(most: int, cosine: float, shared: float, bucket: int, seed: int):
+    codes: dict[int, list[Code] | None] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +189,13 @@ def _listed(share: float, caps: float, seed: int):
                 for d in np.unique(dims).tolist():
                     here = np.flatnonzero(dims == d)
                     if d not in codes:
-                        codes[d] = Code(d, share, caps, seed=seed)
-                    rows, names = codes[d].decode(_unit(_matrix(part.column("v").take(pa.array(here)))))
+                        sized = filters_of(d, most, cosine, shared, bucket)
+                        codes[d] = codes_of(d, *sized, seed) if sized else None
+                    if codes[d] is None:
+                        for i in here.tolist():
+                            lists[i] = [0]
+                        continue
+                    rows, names = exceeded(codes[d], _unit(_matrix(part.column("v").take(pa.array(here)))))
                     order = np.lexsort((names, rows))
                     found = np.split(names[order], np.cumsum(np.bincount(rows, minlength=len(here)))[:-1])
                     for i, x in zip(here.tolist(), found, strict=True):
@@ -211,8 +282,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     is decoded to the filters it exceeds; vectors meet in filters, pairs are verified exactly, and a
     pair counts in its first common filter. Links below the limit never appear; a pair is
     missed only where it shares no filter (``shared`` on average at the limit, see README for
-    the measured recall). The number of filters grows with the largest label. Full filters
-    are cut into blocks that meet pairwise in tasks of their own, so no pair is dropped.
+    the measured recall). The number of filters grows with the largest label; vectors of too few
+    dimensions for filters are all in one. Full filters are cut into blocks that meet pairwise in
+    tasks of their own, so no pair is dropped.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without
     a label or an id, link with nothing. Vectors of different lengths never link. Repeated rows
@@ -228,10 +300,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     reps = materialise(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
                        .withColumn("dim", F.size("v")))
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    share = min(LARGEST_CAP, max(1e-8, bucket / most))
     kind = reps.schema["v"].dataType.simpleString()
     listed = materialise(reps.select("rep", "label", "dim", "copies", "v").mapInArrow(
-        _listed(share, caps_needed(share, cosine, shared), seed),
+        _listed(most, cosine, shared, bucket, seed),
         f"rep long, label long, dim int, copies long, v {kind}, caps array<long>"))
     sizes = listed.select("label", "dim", F.explode("caps").alias("cap")).groupBy("label", "dim", "cap").count()
     full = materialise(sizes.filter(F.col("count") > block).select(
