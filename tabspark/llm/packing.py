@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.llm.common import slices, strings
+from tabspark.llm.common import slices
 from tabspark.llm.encoding import encoder
 
 LENGTH = 2048
 # Pieces that are packed together; a group that holds more is packed in parts of this size.
 GROUP_PIECES = 4096
+# Bytes of ids that a task reads.
+PARTITION_BYTES = 64 << 20
 # Bytes of text that a full piece stands for, to choose the number of groups.
 BYTES_PER_TOKEN = 3
 PIECE = "struct<doc_id: long, start: long, length: long, offset: long, doc_tokens: long>"
@@ -61,23 +64,32 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, groups: int, seed: int,
     """Cut documents into pieces of at most ``capacity`` ids, each with a random group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "u4").tobytes()
+        encode, end = encoder(tokenizer).encode_all, np.array([end_id], kind).tobytes()
+        part, nameless = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
-            doc, start, group, total, ids = [], [], [], [], []
-            for key, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True):
-                whole = np.frombuffer(encode(text) + end, "u4")
-                for at in range(0, len(whole), capacity):
-                    piece = whole[at:at + capacity]
-                    data = piece.astype(kind).tobytes()
+            ids, counts = encode(batch.column("text"))
+            data, width = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
+            stops = (np.cumsum(counts) * width).tolist()
+            doc, start, group, total, pieces = [], [], [], [], []
+            for key, first, stop in zip(batch.column("doc_id").to_pylist(), [0, *stops], stops, strict=False):
+                whole = bytes(data[first:stop]) + end
+                place = ""
+                if key is None:
+                    # Rows without an id may all be alike, so their place in the task sets them apart.
+                    nameless += 1
+                    place = f"{part} {nameless}"
+                for at in range(0, len(whole), capacity * width):
+                    piece = whole[at:at + capacity * width]
                     doc.append(key)
-                    start.append(at)
-                    total.append(len(whole))
-                    ids.append(data)
+                    start.append(at // width)
+                    total.append(len(whole) // width)
+                    pieces.append(piece)
                     # By key, place and content: the same row goes to the same group in every run.
-                    group.append(zlib.crc32(b"%d %d %d %d" % (seed, key or 0, at, zlib.crc32(data))) % groups)
+                    name = f"{seed} {key} {place} {at} {zlib.crc32(piece)}"
+                    group.append(zlib.crc32(name.encode()) % groups)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(group, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()),
-                 pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
+                 pa.array(total, pa.int64()), pa.array(pieces, pa.binary())],
                 ["grp", "doc_id", "start", "doc_tokens", "ids"])
 
     return run
@@ -150,7 +162,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end_id: int =
     kind = "<u4" if encoder(tokenizer).wide else "<u2"
     cut = rows.mapInArrow(_pieces(tokenizer, end_id, capacity, groups, seed, kind),
                           "grp int, doc_id long, start long, doc_tokens long, ids binary")
-    dealt = cut.repartition("grp").sortWithinPartitions("grp", "doc_id", "start")
+    # Ids are about half as large as the texts; more partitions than the session's own only where they would grow.
+    parts = (size or 0) // (2 * PARTITION_BYTES)
+    wide = parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut.repartition(parts, "grp") if wide else cut.repartition("grp")
+    dealt = dealt.sortWithinPartitions("grp", "doc_id", "start")
     return dealt.mapInArrow(_pack(capacity, kind, group_pieces), SEQUENCES)
 
 

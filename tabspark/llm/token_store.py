@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabspark.llm.common import slices, strings
+from tabspark.llm.common import slices
 from tabspark.llm.encoding import encoder
 
 # How the files are laid out: token lists in delta encoding, the rest by dictionary; row groups
@@ -36,17 +36,15 @@ def little(ids: bytes) -> bytes:
 
 
 def _encode(tokenizer: str, end_id: int | None):
-    end = b"" if end_id is None else np.array([end_id], "u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         part, before = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
-            lists = [encode(x) + end for x in strings(batch.column("text"))]
-            counts = np.array([len(x) // 4 for x in lists], np.int64)
+            ids, counts = encode(batch.column("text"))
+            if end_id is not None:
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
             ends = np.cumsum(counts)
-            flat = pa.array(np.frombuffer(b"".join(lists), "u4").astype(np.int32))
-            tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), flat)
+            tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.view(np.int32)))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(before + ends - counts),

@@ -6,7 +6,7 @@ import corpus_pipeline
 from tabspark.llm import quality, simhash, toxicity
 from tabspark.llm.queries import BYTE_BPE
 from tests.llm.helpers import tricky_docs
-from tests.llm.test_near_duplicates import _plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_rules_licenses_private import base_spans
 
 
@@ -17,10 +17,8 @@ def test_run_equals_the_plain_steps(spark, small):
     good, clean = quality.train(docs, labels), toxicity.train(docs, labels)
     kept = {k: t for k, t in rows.items() if good.scores([t])[0] >= quality.THRESHOLD}
     kept = {k: t for k, t in kept.items() if clean.scores([t])[0] < toxicity.THRESHOLD}
-    group = _plain_components([(k, plain_fingerprint(t)) for k, t in kept.items()])
-    kept = {k: kept[k] for (k, _), least in group.items() if k == least}
+    kept = {k: kept[k] for k in plain_kept(kept)[0]}
     plain = Tokenizer.from_file(BYTE_BPE)
-    plain.encode_special_tokens = True
     texts = {}
     for r in corpus_pipeline.run(spark, small).collect():
         tokens = np.frombuffer(r["tokens"], "<u4").tolist()
