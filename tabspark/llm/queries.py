@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.functions.scratch import scratch_path
-from tabspark.llm import (embeddings, licenses, packing, pieces, pii, quality, quality_rules, simhash, token_store,
+from tabspark.llm import (best_fit, embeddings, licenses, packing, pieces, pii, quality, quality_rules, simhash, token_store,
                           toxicity)
 from tabspark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -64,9 +65,14 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_digests(pii.find_private(table(spark, sf_dir, "documents")))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece, from the packed sequences of all documents."""
+    return best_fit.piece_digests(best_fit.pack_best_fit(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_store, op2_packing, op3_toxicity, op4_quality_rules, op5_license_scan, op6_sentencepiece, op7_simhash,
-    op8_near_vectors, op9_quality_classifier, op10_private_data)}
+    op8_near_vectors, op9_quality_classifier, op10_private_data, op11_best_fit)}
 
 
 def _rules_sql() -> str:
