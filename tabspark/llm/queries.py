@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.functions.scratch import scratch_path
-from tabspark.llm import (best_fit, embeddings, licenses, packing, pieces, pii, quality, quality_rules, simhash, token_store,
+from tabspark.llm import (best_fit, embeddings, licenses, merkle, packing, pieces, pii, quality, quality_rules, simhash, token_store,
                           toxicity)
 from tabspark.llm.common import table
 
@@ -70,9 +70,19 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.piece_digests(best_fit.pack_best_fit(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, checked against documents of which some lost their line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    without = F.when(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0,
+                     F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(docs, altered={"text": without})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_store, op2_packing, op3_toxicity, op4_quality_rules, op5_license_scan, op6_sentencepiece, op7_simhash,
-    op8_near_vectors, op9_quality_classifier, op10_private_data, op11_best_fit)}
+    op8_near_vectors, op9_quality_classifier, op10_private_data, op11_best_fit,
+    op12_manifest)}
 
 
 def _rules_sql() -> str:
@@ -113,4 +123,4 @@ SELECT *, NOT (base_failed OR {" OR ".join(n for n, _ in fails)}) AS kept FROM j
 """
 
 
-ORACLE = {"op4_quality_rules": _rules_sql(), "op5_license_scan": licenses.oracle()}
+ORACLE = {"op4_quality_rules": _rules_sql(), "op5_license_scan": licenses.oracle(), "op12_manifest": merkle.oracle()}
