@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.functions.scratch import scratch_path
-from tabspark.llm import (best_fit, embeddings, licenses, merkle, packing, pieces, pii, quality, quality_rules, simhash, token_store,
-                          toxicity)
+from tabspark.llm import (best_fit, embeddings, licenses, merkle, packing, pieces, pii, quality, quality_rules, resampling,
+                          simhash, token_store, toxicity)
 from tabspark.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,10 +79,15 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five in a hundred documents, likelier the more they resemble the benchmark."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_store, op2_packing, op3_toxicity, op4_quality_rules, op5_license_scan, op6_sentencepiece, op7_simhash,
     op8_near_vectors, op9_quality_classifier, op10_private_data, op11_best_fit,
-    op12_manifest)}
+    op12_manifest, op13_resample)}
 
 
 def _rules_sql() -> str:
@@ -123,4 +128,5 @@ SELECT *, NOT (base_failed OR {" OR ".join(n for n, _ in fails)}) AS kept FROM j
 """
 
 
-ORACLE = {"op4_quality_rules": _rules_sql(), "op5_license_scan": licenses.oracle(), "op12_manifest": merkle.oracle()}
+ORACLE = {"op4_quality_rules": _rules_sql(), "op5_license_scan": licenses.oracle(), "op12_manifest": merkle.oracle(),
+          "op13_resample": resampling.oracle()}
