@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import reduce
@@ -27,9 +28,14 @@ LOOSEST = 16
 STAIRS = 16
 PIECE = "struct<doc_id: long, piece: int, start: long, length: long, offset: long>"
 SEQUENCES = f"sequence_id long, tokens binary, padding int, pieces array<{PIECE}>"
-_CUT = "uid long, doc_id long, piece int, start long, length int, ids binary"
-_PLACED = "uid long, length int, bin long, loose boolean, round int, grp long, n_bins int, bound int"
-HANDED_ON = 128
+_FIELDS = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
+                     ("offset", pa.int64())])
+# A bin on its way: at first one piece, tokens in the width of the vocabulary.
+_BINS = f"grp long, bin long, tokens binary, pieces array<{PIECE}>"
+_PACKED = f"bin long, tokens binary, pieces array<{PIECE}>, loose boolean, round int, grp long, part int, n_bins int, bound int"
+HANDED_ON = 256
+# Bytes of text that a full piece stands for, to choose the number of groups.
+BYTES_PER_TOKEN = 4
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,166 +99,160 @@ def lower_bound(counts: np.ndarray, capacity: int, stairs: int = STAIRS) -> int:
     return best
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int, kind: str):
+def _cut(tokenizer: str, end_id: int, capacity: int, groups: int, seed: int, kind: str):
+    """Documents as pieces, each a bin of its own, with a random group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).encode_all, np.array([end_id], kind).tobytes()
-        uid = TaskContext.get().partitionId() << 36
-        width = np.dtype(kind).itemsize
+        width, task, nameless = np.dtype(kind).itemsize, TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
             ids, counts = encode(batch.column("text"))
             data, stops = memoryview(ids.astype(kind).tobytes()), (np.cumsum(counts) * width).tolist()
-            rows, pieces = [], []
+            rows, tokens, group = [], [], []
             keys = batch.column("doc_id").to_pylist()
-            for i, (first, stop) in enumerate(zip([0, *stops[:-1]], stops, strict=True)):
+            for key, first, stop in zip(keys, [0, *stops], stops, strict=False):
                 whole = bytes(data[first:stop]) + end
+                place = ""
+                if key is None:
+                    # Rows without an id may all be alike, so their place in the task sets them apart.
+                    nameless += 1
+                    place = f"{task} {nameless}"
                 for n, at in enumerate(range(0, len(whole), capacity * width)):
                     piece = whole[at:at + capacity * width]
-                    rows.append((i, n, at // width, len(piece) // width))
-                    pieces.append(piece)
-            owner, piece, start, length = np.array(rows, np.int64).reshape(-1, 4).T
+                    rows.append((key, n, at // width, len(piece) // width, 0))
+                    tokens.append(piece)
+                    # By key, place and content: the same row goes to the same group in every run.
+                    group.append(zlib.crc32(f"{seed} {key} {place} {n} {zlib.crc32(piece)}".encode()) % groups)
+            fields = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)]
+            pieces = pa.StructArray.from_arrays(fields, fields=list(_FIELDS))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(uid, uid + len(rows))), pa.array([keys[i] for i in owner], pa.int64()),
-                 pa.array(piece.astype(np.int32)), pa.array(start.copy()), pa.array(length.astype(np.int32)),
-                 pa.array(pieces, pa.binary())],
-                ["uid", "doc_id", "piece", "start", "length", "ids"])
-            uid += len(rows)
+                [pa.array(group, pa.int64()), pa.array(np.full(len(rows), -1)), pa.array(tokens, pa.binary()),
+                 pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32), pieces)],
+                ["grp", "bin", "tokens", "pieces"])
 
     return run
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end_id: int = 1,
-                  key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document as its ids and ``end_id``; longer ones cut into pieces of ``capacity`` ids and a rest.
+def _repack(rows: list[tuple], capacity: int, width: int, first_name: int, last: bool):
+    """Pack the pieces of some bins anew, keep the bins unless there are fewer new ones, and certify the count."""
+    pieces = [(p, tokens[p["offset"] * width:(p["offset"] + p["length"]) * width]) for _, tokens, own in rows for p in own]
+    lengths = np.array([p["length"] for p, _ in pieces], np.int64)
+    places, room = best_fit_decreasing(lengths, capacity)
+    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+    if rows[0][0] >= 0 and len(room) >= len(rows):
+        packed = rows
+        room = np.array([capacity - len(tokens) // width for _, tokens, _ in rows])
+    else:
+        members: list[list] = [[] for _ in room]
+        for (piece, ids), home in zip(pieces, places.tolist(), strict=True):
+            members[home].append((piece, ids))
+        packed = []
+        for home, own in enumerate(members):
+            at, placed = 0, []
+            for piece, _ in own:
+                placed.append(piece | {"offset": at})
+                at += piece["length"]
+            packed.append((first_name + home, b"".join(ids for _, ids in own), placed))
+    loose = np.zeros(len(room), bool)
+    if not last and len(room) > bound:
+        loose = room > 0
+    elif not last:
+        # Certified for itself; its loosest bins may still be saved by other groups.
+        loose[np.argsort(-room, kind="stable")[:max(1, len(room) // LOOSEST)]] = True
+        loose &= room > 0
+    return packed, loose, bound
+
+
+def _pack(capacity: int, kind: str, number: int, most: int, last: bool):
+    """One round: a task holds one group, or ``most`` bins of a group that has grown beyond."""
+    width = np.dtype(kind).itemsize
 
-    uid names a piece once the table is written, not before. Null texts are empty documents, null keys and
-    repeated rows are kept.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = "<u4" if encoder(tokenizer).wide else "<u2"
-    return rows.mapInArrow(_cut(tokenizer, end_id, capacity, kind), _CUT)
-
-
-def _repack(capacity: int, number: int, last: bool):
-    """Pack one group anew, keep its old bins unless there are fewer new ones, and certify the count."""
-
-    def run(table: pa.Table) -> pa.Table:
-        lengths = table.column("length").to_numpy().astype(np.int64)
-        old = table.column("bin").to_numpy()
-        group = table.column("grp")[0].as_py()
-        places, room = best_fit_decreasing(lengths, capacity)
-        bins = (number << 56) + (group << 20) + places
-        if number:
-            names, back = np.unique(old, return_inverse=True)
-            if len(names) <= len(room):
-                bins, places = old, back
-                room = capacity - np.bincount(back, lengths, len(names)).astype(np.int64)
-        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        if last:
-            loose = np.zeros(len(room), bool)
-        elif len(room) > bound:
-            loose = room > 0
-        else:
-            # Certified for itself; its loosest bins may still be saved by other groups.
-            loose = np.zeros(len(room), bool)
-            loose[np.argsort(-room, kind="stable")[:max(1, len(room) // LOOSEST)]] = True
-            loose &= room > 0
-        n = len(lengths)
-        return pa.table({
-            "uid": table.column("uid"), "length": table.column("length"), "bin": pa.array(bins, pa.int64()),
-            "loose": pa.array(loose[places]), "round": pa.array(np.full(n, number, np.int32)),
-            "grp": table.column("grp"), "n_bins": pa.array(np.full(n, len(room), np.int32)),
-            "bound": pa.array(np.full(n, bound, np.int32))})
+    def written(rows: list[tuple], group: int, part: int, made: int) -> tuple[int, list[pa.RecordBatch]]:
+        packed, loose, bound = _repack(rows, capacity, width, (number << 58) + (group << 24) + made, last)
+        n = len(packed)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _, _ in packed], pa.int64()), pa.array([t for _, t, _ in packed], pa.binary()),
+             pa.array([p for _, _, p in packed], pa.list_(_FIELDS)), pa.array(loose),
+             pa.array(np.full(n, number, np.int32)), pa.array(np.full(n, group)), pa.array(np.full(n, part, np.int32)),
+             pa.array(np.full(n, n, np.int32)), pa.array(np.full(n, bound, np.int32))],
+            ["bin", "tokens", "pieces", "loose", "round", "grp", "part", "n_bins", "bound"])
+        return made + n, [batch.slice(i, HANDED_ON) for i in range(0, n, HANDED_ON)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        group, part, made = None, 0, 0
+        for batch in batches:
+            for at, *row in zip(*(batch.column(c).to_pylist() for c in ("grp", "bin", "tokens", "pieces")), strict=True):
+                if held and (at != group or len(held) >= 2 * most):
+                    made, out = written(held, group, part, made)
+                    yield from out
+                    held, part = [], part + 1
+                if at != group:
+                    group, part, made = at, 0, 0
+                held.append(tuple(row))
+        if held:
+            yield from written(held, group, part, made)[1]
+
+    return run
+
+
+def _widened(capacity: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x, kind).astype("<u4") for x in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bin"), pa.array([x.tobytes() for x in tokens], pa.binary()),
+                 pa.array([capacity - len(x) for x in tokens], pa.int32()), batch.column("pieces")],
+                ["sequence_id", "tokens", "padding", "pieces"])
 
     return run
 
 
-def assign_bins(pieces: DataFrame, capacity: int = LENGTH, group_pieces: int = GROUP_PIECES,
-                rounds: int = ROUNDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Bins for ``uid, length`` rows: the assignment ``uid, bin``, and the certificates of all groups.
+def exchange(dealt: DataFrame, kind: str, groups: int, capacity: int = LENGTH, group_pieces: int = GROUP_PIECES,
+             rounds: int = ROUNDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Pack dealt bins of one piece each; sequences, and the certificates of all groups and rounds.
 
-    Pieces are dealt to random groups of about ``group_pieces``; each group is packed best-fit
-    decreasing, and its count is certified if it equals the group's :func:`lower_bound`.
-    Groups with a gap then give up all bins with room, certified groups their loosest ones, and
-    these bins are dealt, whole, to fewer groups and packed again; a group keeps what it was
-    given unless it needs fewer bins now. That ends when one group was left, when all bins
-    together are at the bound of the whole table, or after ``rounds``; with certified groups
-    the rows that move fall about tenfold each time. Certificates: round, grp, n_pieces, n_bins, bound.
+    Each group is packed best-fit decreasing, and its count is certified if it equals the
+    group's :func:`lower_bound`. Groups with a gap then give up all bins with room, certified
+    groups their loosest ones; these bins are dealt, whole, to fewer groups and packed again,
+    and a group keeps what it was given unless it needs fewer bins now. That ends when one
+    group was left, when all bins together are at the bound of the whole table, when a round
+    saved nothing, or after ``rounds``. With certified groups what moves falls about tenfold
+    each time, so the ids are shuffled little more than once.
 
-    Only counts by length (``capacity`` of them at most) reach the driver. Lengths lie in
-    1..capacity. An empty table gives empty results.
+    Certificates: round, grp, part, n_pieces, n_bins, bound. Only counts by length
+    (``capacity`` of them at most) and totals reach the driver.
     """
-    spark = pieces.sparkSession
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in pieces.groupBy("length").count().collect():
-        counts[r["length"]] = r["count"]
-    least, left = lower_bound(counts, capacity), int(counts.sum())
-    pool = pieces.select("uid", "length", F.lit(-1).cast("long").alias("bin"), F.col("uid").alias("deal"))
-    tables, settled = [], 0
+    tables: list[DataFrame] = []
+    least = before = None
     for number in range(rounds):
-        groups = -(-left // group_pieces)
-        if groups == 0:
-            break
         last = groups == 1 or number == rounds - 1
-        # Uids are unique and bins hold few pieces, so no group is hot.
-        grp = F.pmod(F.xxhash64("deal", F.lit(seed + number)), F.lit(groups))
-        placed = materialise(pool.select("uid", "length", "bin", grp.alias("grp")).groupBy("grp").applyInArrow(
-            _repack(capacity, number, last), _PLACED))
-        tables.append(placed)
-        loose = placed.agg(F.count_if("loose").alias("rows"), F.count_distinct(F.when(F.col("loose"), F.col("bin"))).alias("bins"),
-                           F.count_distinct("bin").alias("all")).first()
-        settled += loose["all"] - loose["bins"]
-        left = loose["rows"]
-        if last or settled + loose["bins"] <= least:
+        own = F.col("pieces")[0]
+        ordered = dealt.repartition("grp").sortWithinPartitions("grp", own["doc_id"], own["start"], "bin")
+        packed = materialise(ordered.mapInArrow(_pack(capacity, kind, number, group_pieces, last), _PACKED))
+        tables.append(packed)
+        if last:
+            break
+        if least is None:
+            counts = np.zeros(capacity + 1, np.int64)
+            for r in packed.select(F.explode("pieces.length").alias("n")).groupBy("n").count().collect():
+                counts[r["n"]] = r["count"]
+            least = lower_bound(counts, capacity)
+        held = packed.agg(F.count("*").alias("all"), F.count_if("loose").alias("loose"),
+                          F.sum(F.when(F.col("loose"), F.size("pieces"))).alias("pieces")).first()
+        total = held["all"] if before is None else before["total"] - before["loose"] + held["all"]
+        if not held["loose"] or total <= least or before and total == before["total"]:
             break
-        pool = placed.filter("loose").select("uid", "length", "bin", F.col("bin").alias("deal"))
-    if not tables:
-        empty = spark.createDataFrame([], _PLACED)
-        tables = [empty]
+        before = {"total": total, "loose": held["loose"]}
+        groups = -(-held["pieces"] // group_pieces)
+        grp = F.pmod(F.xxhash64("bin", F.lit(seed + number)), F.lit(groups)).alias("grp")
+        dealt = packed.filter("loose").select(grp, "bin", "tokens", "pieces")
     # What a round let go is in the next round's table; the last round holds the rest.
-    kept = [t.filter("not loose") for t in tables[:-1]] + [tables[-1]]
-    assignment = reduce(DataFrame.unionByName, kept).select("uid", "bin")
-    certificates = reduce(DataFrame.unionByName, tables).groupBy("round", "grp").agg(
-        F.count("*").alias("n_pieces"), F.max("n_bins").alias("n_bins"), F.max("bound").alias("bound"))
-    return assignment, certificates
-
-
-def _assemble(capacity: int, kind: str):
-    """Sequences from pieces in order of their sequence."""
-    width = np.dtype(kind).itemsize
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
-              ("offset", pa.int64())]
-
-    def written(held: list) -> pa.RecordBatch:
-        tokens = [np.frombuffer(b"".join(x for *_, x in rows), kind).astype("<u4") for _, rows in held]
-        pieces = []
-        for _, rows in held:
-            offset, own = 0, []
-            for doc, piece, start, ids in rows:
-                n = len(ids) // width
-                own.append({"doc_id": doc, "piece": piece, "start": start, "length": n, "offset": offset})
-                offset += n
-            pieces.append(own)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in held], pa.int64()), pa.array([x.tobytes() for x in tokens], pa.binary()),
-             pa.array([capacity - len(x) for x in tokens], pa.int32()),
-             pa.array(pieces, pa.list_(pa.struct(fields)))],
-            ["sequence_id", "tokens", "padding", "pieces"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            for home, *row in zip(*(batch.column(c).to_pylist() for c in ("bin", "doc_id", "piece", "start", "ids")),
-                                  strict=True):
-                if not held or held[-1][0] != home:
-                    if len(held) >= HANDED_ON:
-                        yield written(held)
-                        held = []
-                    held.append((home, []))
-                held[-1][1].append(row)
-        if held:
-            yield written(held)
-
-    return run
+    kept = reduce(DataFrame.unionByName, [t.filter("not loose") for t in tables[:-1]] + [tables[-1]])
+    sequences = kept.select("bin", "tokens", "pieces").mapInArrow(_widened(capacity, kind), SEQUENCES)
+    certificates = reduce(DataFrame.unionByName, tables).groupBy("round", "grp", "part").agg(
+        F.sum(F.size("pieces")).alias("n_pieces"), F.max("n_bins").alias("n_bins"), F.max("bound").alias("bound"))
+    return sequences, certificates
 
 
 def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end_id: int = 1,
@@ -260,24 +260,23 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = LENGTH, end_i
                   key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack all documents into few sequences of at most ``capacity`` ids; only longer ones are cut.
 
-    A row per sequence: sequence_id, tokens (binary, little-endian unsigned 32-bit), padding
-    (what is missing to ``capacity``) and pieces (doc_id, piece, start in the document, length,
-    offset in the sequence), gapless from offset 0. Pieces of ``capacity`` ids are sequences
-    of their own; the rest goes through :func:`assign_bins`, which moves lengths only. Ids are
-    encoded once, written to the shared folder, and shuffled to their sequences at the end.
+    Every document becomes its ids followed by ``end_id``; longer ones are cut into pieces of
+    ``capacity`` ids and a rest. Pieces are dealt to random groups of about ``group_pieces``
+    and packed by :func:`exchange`. A row per sequence: sequence_id, tokens (binary,
+    little-endian unsigned 32-bit), padding (what is missing to ``capacity``) and pieces
+    (doc_id, piece, start in the document, length, offset in the sequence), gapless from
+    offset 0.
 
     Null texts are empty documents (only the end id), null keys and repeated rows are kept,
-    an empty table gives no sequence; other columns do not matter.
+    an empty table gives no sequence; other columns do not matter. A group that has grown
+    beyond twice ``group_pieces`` is packed in parts, so memory is bounded.
     """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, min(1 << 30, round(((n or 0) + (size or 0) / (BYTES_PER_TOKEN * capacity)) / group_pieces)))
     kind = "<u4" if encoder(tokenizer).wide else "<u2"
-    pieces = materialise(cut_documents(docs, tokenizer, capacity, end_id, key, text))
-    shorter = pieces.filter(F.col("length") < capacity).select("uid", "length")
-    assignment, _ = assign_bins(shorter, capacity, group_pieces, rounds, seed)
-    full = F.lit(1 << 62) + F.col("uid")
-    homes = pieces.join(assignment, "uid", "left").withColumn("bin", F.coalesce("bin", full))
-    dealt = homes.select("bin", "uid", "doc_id", "piece", "start", "ids").repartition("bin").sortWithinPartitions(
-        "bin", "uid")
-    return dealt.mapInArrow(_assemble(capacity, kind), SEQUENCES)
+    dealt = rows.mapInArrow(_cut(tokenizer, end_id, capacity, groups, seed, kind), _BINS)
+    return exchange(dealt, kind, groups, capacity, group_pieces, rounds, seed)[0]
 
 
 def piece_digests(sequences: DataFrame) -> DataFrame:

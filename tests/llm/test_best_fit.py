@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabspark.functions.scratch import materialise
 from tabspark.llm import best_fit
 from tabspark.llm.queries import WORD_BPE, op11_best_fit
 from tests.llm.helpers import tricky_docs
@@ -76,34 +75,36 @@ def test_bound_sees_more_than_volume():
     assert best_fit.lower_bound(counts, 100) == 3
 
 
-def _lengths(spark, values):
-    rows = [(i, int(x)) for i, x in enumerate(values)]
-    return materialise(spark.createDataFrame(rows, "uid long, length int").repartition(3))
+def _dealt(spark, values, groups):
+    kind = "grp long, bin long, tokens binary, pieces array<struct<doc_id: long, piece: int, start: long, length: long, offset: long>>"
+    rows = [(i % groups, -1, bytes(2 * int(x)), [(i, 0, 0, int(x), 0)]) for i, x in enumerate(values)]
+    return spark.createDataFrame(rows, kind).repartition(3)
 
 
 def test_exchange_closes_the_gaps_of_small_groups(spark):
     lengths = np.random.default_rng(1).integers(1, 60, 700)
-    pieces = _lengths(spark, lengths)
-    homes, certificates = best_fit.assign_bins(pieces, 100, group_pieces=40)
-    rows = pieces.join(homes, "uid").collect()
-    assert len(rows) == len({r["uid"] for r in rows}) == 700
-    fill = {}
+    found, certificates = best_fit.exchange(_dealt(spark, lengths, 18), "<u2", 18, capacity=100, group_pieces=40)
+    rows = found.collect()
+    assert sorted(p["doc_id"] for r in rows for p in r["pieces"]) == list(range(700))
     for r in rows:
-        fill[r["bin"]] = fill.get(r["bin"], 0) + r["length"]
-    assert max(fill.values()) <= 100
+        assert sum(p["length"] for p in r["pieces"]) + r["padding"] == 100
+        assert all(p["length"] == lengths[p["doc_id"]] for p in r["pieces"])
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
     bound = best_fit.lower_bound(np.bincount(lengths, minlength=101), 100)
     first = [r for r in certificates.collect() if r["round"] == 0]
     assert sum(r["n_bins"] for r in first) > bound + 3
     assert all(r["bound"] <= r["n_bins"] for r in certificates.collect())
     # Packing all 700 at once needs the bound itself; 18 groups alone need 11 more.
-    assert len(fill) <= bound + 2
+    assert len(rows) <= bound + 3
 
 
-def test_one_length_only_and_no_rows(spark):
-    homes, _ = best_fit.assign_bins(_lengths(spark, [51] * 90), 100, group_pieces=10)
-    assert homes.select("bin").distinct().count() == 90
-    homes, certificates = best_fit.assign_bins(_lengths(spark, [1]).limit(0), 100)
-    assert homes.count() == certificates.count() == 0
+def test_one_length_only_a_grown_group_and_no_rows(spark):
+    found, _ = best_fit.exchange(_dealt(spark, [51] * 90, 9), "<u2", 9, capacity=100, group_pieces=10)
+    assert found.count() == 90
+    found, certificates = best_fit.exchange(_dealt(spark, [50] * 90, 1), "<u2", 1, capacity=100, group_pieces=10)
+    assert found.count() == 45 and {r["part"] for r in certificates.collect()} == {0, 1, 2, 3, 4}
+    found, certificates = best_fit.exchange(_dealt(spark, [1], 1).limit(0), "<u2", 1)
+    assert found.count() == certificates.count() == 0
 
 
 @pytest.fixture(scope="module")
