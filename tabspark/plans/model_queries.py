@@ -18,7 +18,7 @@ from tabspark.operators.models.density import density_clusters, density_clusters
 from tabspark.operators.models.isolation import fit_isolation_forest
 from tabspark.operators.models.neighbors import local_outlier_factor
 from tabspark.operators.prepare import prepare
-from tabspark.plans.common import table
+from tabspark.plans.common import slot_sql, table
 from tabspark.plans.workflow import assess
 
 
@@ -90,27 +90,35 @@ def cv_scores(spark, sf):
 
 
 def train_compare(spark, sf):
+    """All candidates of the task with their default settings."""
     def work(training, test, features):
-        best = train.train_best(
-            training, "binary_classification", ["LogisticRegression", "RandomForest"], key="doc_id",
-        )
-        return best.comparison.drop("seconds")
+        return train.train_best(training, "binary_classification", key="doc_id").comparison.drop("seconds")
 
     return with_training_tables(spark, sf, work)
 
 
-def tune_random(spark, sf):
-    """Twenty drawn ridge penalties for the price of every line item, over five folds."""
-    features = ["l_quantity", "l_discount"]
+PRICE_FEATURES = ["l_quantity", "l_discount"]
+DRAWS, FOLDS = 20, 5
+
+
+def _priced_items(spark, sf) -> DataFrame:
     items = table(spark, sf, "lineitem").select(
-        "l_orderkey", *features, F.col("l_extendedprice").alias("label"))
-    ready = VectorAssembler(inputCols=features, outputCol="features").transform(items)
-    ready = ready.select("l_orderkey", "features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        _, table_of_draws = tune.random_search(ready, "LinearRegression", "regression", key="l_orderkey")
-    finally:
-        ready.unpersist()
-    return table_of_draws
+        "l_orderkey", *PRICE_FEATURES, F.col("l_extendedprice").alias("label"))
+    ready = VectorAssembler(inputCols=PRICE_FEATURES, outputCol="features").transform(items)
+    return ready.select("l_orderkey", "features", "label")
+
+
+def tune_random(spark, sf):
+    """Drawn ridge penalties for the price of every line item, over five folds."""
+    found = tune.search_params(_priced_items(spark, sf), "LinearRegression", "regression", DRAWS, FOLDS, key="l_orderkey")
+    return found.draws.withColumn("mean_score", rounded(F.col("mean_score"), 9))
+
+
+def train_compare_tuned(spark, sf):
+    """The penalised linear candidates for the price of every line item, each searched before they are compared."""
+    best, _ = tune.tuned_best(_priced_items(spark, sf), "regression", ["LinearRegression", "ElasticNet"], DRAWS, FOLDS,
+                              key="l_orderkey", fit=False)
+    return best.comparison.drop("seconds")
 
 
 def tuning_rounds(spark, sf):
@@ -139,7 +147,7 @@ def assessment(spark, sf):
     """The report of a whole assessment run."""
     result = assess(
         labelled_documents(spark, sf), "doc_id", "Classify documents. Goal is to detect quality.",
-        target="quality", names=["LogisticRegression", "RandomForest"],
+        target="quality",
     )
     return result.tables["report"]
 
@@ -191,6 +199,7 @@ QUERIES = {
     "train_elastic": train_elastic,
     "cv_scores": cv_scores,
     "train_compare": train_compare,
+    "train_compare_tuned": train_compare_tuned,
     "tune_random": tune_random,
     "tuning_rounds": tuning_rounds,
     "feature_importance": feature_importance,
@@ -216,8 +225,49 @@ SELECT s.{key}, coalesce(c.cluster, b.cluster, -1) AS cluster, c.id IS NOT NULL
 FROM {source} s LEFT JOIN c ON c.id = s.{key} LEFT JOIN b ON b.id = s.{key}"""
 
 
+def _searched_sql(name: str, tail: str) -> str:
+    """Means of drawn penalties over the folds: sums per fold, coordinate descent by recursion, r2 on the fold."""
+    values = []
+    for i, p in enumerate(tune.draw_params(tune.space_of(name, "regression"), DRAWS)):
+        text = ", ".join(f"{k}={v}" for k, v in sorted(p.items()))
+        ratio = p.get("l1_ratio", 0.0)
+        l2 = f"{p['alpha']!r} / n" if name == "LinearRegression" else repr(p["alpha"] * (1 - ratio))
+        values.append(f"SELECT {i} AS draw, '{text}' AS params, k, {p['alpha'] * ratio!r} AS l1, {l2} AS l2 FROM o")
+    a, b, y = "l_quantity", "l_discount", "l_extendedprice"
+    stats = (f"count(*) AS n, avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my, var_pop({a}) AS aa, var_pop({b}) AS bb, "
+             f"covar_pop({a}, {b}) AS ab, covar_pop({a}, {y}) AS ay, covar_pop({b}, {y}) AS by_, var_pop({y}) AS yy")
+    shrunk = "sign({0}) * greatest(abs({0}) - l1, 0) / ({1} + l2)"
+    first = shrunk.format("(ay - ab * wb)", "aa")
+    return f"""WITH RECURSIVE i AS (SELECT *, {slot_sql("l_orderkey")} % {FOLDS} AS fold FROM lineitem),
+    h AS (SELECT fold AS k, {stats} FROM i GROUP BY fold),
+    o AS (SELECT k, {stats} FROM i JOIN (SELECT k FROM h) f ON i.fold <> f.k GROUP BY k),
+    p AS ({" UNION ALL ".join(values)}),
+    q AS (SELECT draw, params, l1, l2, o.* FROM p JOIN o USING (k)),
+    w AS (SELECT q.*, 0 AS step, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb FROM q UNION ALL
+        SELECT * REPLACE ({shrunk.format("(by_ - ab * wa)", "bb")} AS wb) FROM (
+            SELECT * REPLACE (step + 1 AS step, {first} AS wa) FROM w WHERE step < 60)),
+    r AS (SELECT draw, params, k, 1 - (h.yy - 2 * (wa * h.ay + wb * h.by_) + wa * wa * h.aa + 2 * wa * wb * h.ab
+            + wb * wb * h.bb + (h.my - w.my + wa * (w.ma - h.ma) + wb * (w.mb - h.mb)) ** 2) / h.yy AS score
+        FROM w JOIN h USING (k) WHERE step = 60),
+    m AS (SELECT draw, params, avg(score) AS mean FROM r GROUP BY draw, params),
+    best AS (SELECT draw FROM m ORDER BY mean DESC, draw LIMIT 1)
+{tail}"""
+
+
+def _compared_sql() -> str:
+    parts = [f"""(SELECT * FROM ({_searched_sql(name, f"SELECT '{name}' AS model, score FROM r JOIN best USING (draw)")}))"""
+             for name in ("LinearRegression", "ElasticNet")]
+    return f"""WITH s AS ({" UNION ALL ".join(parts)}),
+    g AS (SELECT model, count(*) AS folds, avg(score) AS mean, stddev_pop(score) AS std FROM s GROUP BY model),
+    k AS (SELECT *, row_number() OVER (ORDER BY mean DESC, model) AS rank FROM g)
+SELECT model, folds, round(mean, 4) AS cv_mean, round(std, 4) AS cv_std, rank, rank = 1 AS is_best FROM k"""
+
+
 # Closed forms: two centred features with a ridge, one feature with a soft threshold.
 ORACLE = {
+    "tune_random": _searched_sql(
+        "LinearRegression", "SELECT draw, params, round(mean, 9) AS mean_score, draw = (SELECT draw FROM best) AS is_best FROM m"),
+    "train_compare_tuned": _compared_sql(),
     "train_ridge": """WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb,
         avg(l_extendedprice) AS my, var_pop(l_quantity) * count(*) + 1000 AS aa,
         var_pop(l_discount) * count(*) + 1000 AS bb, covar_pop(l_quantity, l_discount) * count(*) AS ab,
