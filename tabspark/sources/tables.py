@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 from tabspark.functions.columns import col
 from tabspark.operators.validate import TableCheckError
 from tabspark.sources.arrow_file import arrow_files, register_arrow_source
+from tabspark.sources.quoted import quoted_rows
 
 # Texts that a delimited file means as "missing".
 MISSING_TOKENS = (
@@ -54,8 +53,8 @@ def read_any(spark: SparkSession, path: str, format: str = "auto", **options) ->
         if kind == "parquet":
             return spark.read.options(**options).parquet(path)
         if kind in ("json", "jsonl"):
-            if "multiLine" not in options:
-                options = {"multiLine": kind == "json" and not _holds_lines(spark, path), **options}
+            if kind == "json" and "multiLine" not in options:
+                return _read_json(spark, path, options)
             return spark.read.options(**options).json(path)
         register_arrow_source(spark)
         return spark.read.format("arrow_file").options(**options).load(path)
@@ -65,21 +64,30 @@ def read_any(spark: SparkSession, path: str, format: str = "auto", **options) ->
         raise TableCheckError(f"failed to load {path}: {error}") from error
 
 
-def _holds_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a ``.json`` path holds one JSON value per line, by the first line of a file.
+def _read_json(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """JSON files of either form: those with a value per line in splits, documents whole; a folder may hold both."""
+    forms = _json_forms(spark, path)
+    if len(set(forms.values())) < 2:
+        lines = all(forms.values())
+        return spark.read.options(**{"multiLine": not lines, **options}).json(path)
+    parts = [spark.read.options(**{"multiLine": not form, **options}).json([f for f, x in forms.items() if x == form])
+             for form in (True, False)]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
 
-    The sink writes such lines. A document that spans lines has a first line that is no
-    JSON value of its own.
+def _json_forms(spark: SparkSession, path: str) -> dict[str, bool]:
+    """For each file with content whether it holds one JSON value per line.
+
+    The first line that is not blank tells: a document that spans lines leaves brackets or a
+    text open there. Texts are taken out and brackets counted where the line is; a flag for each file
+    reaches the driver. The sink writes lines.
     """
-    starts = spark.read.text(path).filter("_metadata.file_block_start = 0")
-    first = starts.filter(F.trim("value") != "").first()
-    if first is None:
-        return True
-    try:
-        json.loads(first["value"])
-    except ValueError:
-        return False
-    return True
+    bare = F.regexp_replace("value", r'"(?:[^"\\]|\\.)*+"', "")
+    opened, closed = (F.length(F.regexp_replace(bare, f"[^{x}]", "")) for x in (r"\[{", r"\]}"))
+    first = spark.read.text(path).filter("_metadata.file_block_start = 0").filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), (~bare.contains('"') & (opened == closed)).alias("whole"),
+        F.monotonically_increasing_id().alias("at"))
+    return {r["file"]: r["whole"] for r in first.groupBy("file").agg(F.min_by("whole", "at").alias("whole")).collect()}
 
 
 def read_delimited(
@@ -91,11 +99,21 @@ def read_delimited(
     become NULL, and each column is cast to the narrowest of bigint, double and
     boolean that all its values fit. Give a ``schema`` to save the typing scan.
 
-    Quotes are doubled inside quoted cells, and cells may hold line breaks, so a file is
-    one task. Files without such breaks can be split: pass ``multiLine=False``.
+    Quotes are doubled inside quoted cells, and cells may hold line breaks. Files are read in
+    splits all the same (:func:`quoted.quoted_rows`), at the cost of one more scan of the
+    lines. ``multiLine=False`` saves that scan where no cell holds a break; ``multiLine=True``
+    and options of the reader other than ``sep`` and ``header`` leave a file to one task.
     """
+    split = not options.keys() - {"sep", "header"} and options.get("header", True) is True
     options = {"header": True, "escape": '"', "multiLine": True, **options}
     text = spark.read.options(**options, inferSchema=False).csv(path)
+    if split and text.columns:
+        sep = options.get("sep", ",")
+        plain = [f"c{i}" for i in range(len(text.columns))]
+        cells = F.from_csv("value", ", ".join(f"{c} string" for c in plain),
+                           {"sep": sep, "escape": '"', "maxColumns": str(max(20480, 2 * len(plain)))})
+        rows = quoted_rows(spark, path, sep).select(cells.alias("cells"))
+        text = rows.select(*[F.col("cells")[c].alias(name) for c, name in zip(plain, text.columns, strict=True)])
     cells = text.select(
         *[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in text.columns]
     )
