@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabspark.functions.numeric import rounded
 from tabspark.operators import metrics as M
-from tabspark.operators.models import catalog, train, tune
+from tabspark.operators.models import catalog, isolation, train, tune
 from tabspark.operators.models.cluster import best_kmeans
 from tabspark.operators.models.density import density_clusters, density_clusters_of_vectors
 from tabspark.operators.models.isolation import fit_isolation_forest
@@ -184,6 +184,18 @@ def anomaly_iforest(spark, sf):
     )
 
 
+def iforest_draws(spark, sf):
+    """The rows drawn and kept for each tree of the forest over all line items."""
+    items = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_key"))
+    n = items.count()
+    wanted = min(isolation.ROWS_PER_TREE, n)
+    drawn = isolation.drawn_rows(items, "row_key", isolation.TREES, isolation.draw_share(n, wanted)).groupBy("tree").agg(
+        F.count("*").alias("n_drawn"))
+    kept = isolation.tree_samples(items, "row_key", isolation.TREES, wanted, n).groupBy("tree").agg(
+        F.count("*").alias("n_kept"), F.sum("row_key").alias("key_sum"))
+    return drawn.join(kept, "tree")
+
+
 def anomaly_lof(spark, sf):
     factors = local_outlier_factor(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return factors.select("vec_id", rounded(F.col("lof")).alias("lof"))
@@ -208,6 +220,7 @@ QUERIES = {
     "cluster_density": cluster_density,
     "cluster_density_vectors": cluster_density_vectors,
     "anomaly_iforest": anomaly_iforest,
+    "iforest_draws": iforest_draws,
     "anomaly_lof": anomaly_lof,
 }
 
@@ -263,8 +276,26 @@ def _compared_sql() -> str:
 SELECT model, folds, round(mean, 4) AS cv_mean, round(std, 4) AS cv_std, rank, rank = 1 AS is_best FROM k"""
 
 
+def _draws_sql() -> str:
+    """The walks over the trees by recursion: one hash per row and tree reached."""
+    trees, wanted, seed = isolation.TREES, isolation.ROWS_PER_TREE, isolation.SEED
+    digest = f"md5('{seed}|' || k || '|' || {{}})"
+    even = f"(CAST('0x' || substr({digest}, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+    skip = f"CAST(least(floor(ln({even}) / rest), {trees}) AS INT)"
+    return f"""WITH RECURSIVE r AS (SELECT l_orderkey * 8 + l_linenumber AS k FROM lineitem),
+    c AS (SELECT least({wanted}, count(*)) AS wanted, CASE WHEN 2 * least({wanted}, count(*)) + 32 < count(*)
+        THEN ln(1 - (2 * least({wanted}, count(*)) + 32) / count(*)) ELSE -1e300 END AS rest FROM r),
+    d AS (SELECT k, rest, 0 AS i, {skip.format("0")} AS tree FROM r, c UNION ALL
+        SELECT k, rest, i + 1, tree + 1 + {skip.format("(i + 1)")} FROM d WHERE tree < {trees}),
+    p AS (SELECT k, tree, row_number() OVER (PARTITION BY tree ORDER BY {digest.format("'t' || tree")}, k) AS place
+        FROM d WHERE tree < {trees})
+SELECT tree, count(*) AS n_drawn, count(*) FILTER (place <= wanted) AS n_kept,
+    CAST(sum(k) FILTER (place <= wanted) AS BIGINT) AS key_sum FROM p, c GROUP BY tree"""
+
+
 # Closed forms: two centred features with a ridge, one feature with a soft threshold.
 ORACLE = {
+    "iforest_draws": _draws_sql(),
     "tune_random": _searched_sql(
         "LinearRegression", "SELECT draw, params, round(mean, 9) AS mean_score, draw = (SELECT draw FROM best) AS is_best FROM m"),
     "train_compare_tuned": _compared_sql(),

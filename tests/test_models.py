@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabspark.operators import metrics as M
 from tabspark.operators.components import connected_components
-from tabspark.operators.models import catalog, train, tune
+from tabspark.operators.models import catalog, isolation, train, tune
 from tabspark.operators.models.cluster import best_kmeans
 from tabspark.operators.models.density import density_clusters, density_clusters_of_vectors
 from tabspark.operators.models.isolation import average_path, fit_isolation_forest
@@ -301,3 +301,43 @@ def test_user_stages(linear):
     by_pipeline = Pipeline(stages=[Doubler()]).fit(df).transform(df)
     by_function = df.transform(lambda d: d.withColumn("a", F.col("a") * 2))
     assert by_pipeline.agg(F.sum("a")).first() == by_function.agg(F.sum("a")).first()
+
+
+def test_drawn_rows_follow_the_share_and_not_the_partitions(spark):
+    rows = spark.range(20_000)
+    drawn = isolation.drawn_rows(rows, "id", 40, 0.01)
+    counts = {r["tree"]: r["count"] for r in drawn.groupBy("tree").count().collect()}
+    assert sorted(counts) == list(range(40)) and all(130 < n < 270 for n in counts.values())
+    assert drawn.groupBy("id", "tree").count().filter("count > 1").isEmpty()
+    again = isolation.drawn_rows(rows.repartition(7), "id", 40, 0.01)
+    assert again.exceptAll(drawn).isEmpty() and drawn.exceptAll(again).isEmpty()
+    # Two trees share rows as often as independent draws would.
+    both = drawn.groupBy("id").agg(F.count_if(F.col("tree") == 3).alias("a"), F.count_if(F.col("tree") == 4).alias("b"))
+    assert both.filter("a = 1 and b = 1").count() < 15
+    assert isolation.drawn_rows(spark.range(3), "id", 5, 1.0).count() == 15
+
+
+def test_level_order_scores_equal_a_walk_from_the_root(spark):
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((600, 3)) < 0.05, np.nan, rng.normal(size=(600, 3)))
+    x[:, 2] = np.round(x[:, 2])
+    frame = pd.DataFrame(x, columns=list("abc")).assign(id=range(600))
+    forest = isolation.fit_isolation_forest(spark.createDataFrame(frame), list("abc"), "id", trees=7, rows_per_tree=64)
+
+    def walk(row):
+        total = 0.0
+        for t in range(7):
+            node = 0
+            for _ in range(6):
+                f = forest.feature[t, node]
+                if f < 0 or row[f] < forest.threshold[t, node]:
+                    node = 2 * node + 1
+                else:
+                    node = 2 * node + 2
+            total += forest.path[t, node - 63]
+        return total
+
+    assert np.allclose(forest.paths(x), [walk(r) for r in x])
+    complete = forest.size[:, 1:][:, ::2] + forest.size[:, 1:][:, 1::2]
+    cut = forest.feature[:, :31] >= 0
+    assert (complete[cut] == forest.size[:, :31][cut]).all()
