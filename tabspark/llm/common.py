@@ -35,6 +35,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is not taken, in any case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most ``SLICE_BYTES`` of text, or one row."""
     for batch in batches:

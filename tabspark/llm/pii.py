@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabspark.llm.common import free_name
+
 # Characters before and after a span that are searched for context words.
 NEARBY = 48
+# Code points of the pieces that a text is cut into, and elements of the pieces of an array.
+WINDOW = 1024
+CHUNK = 128
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 
@@ -85,28 +91,52 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _spans(text: Column, kind: Kind) -> Column:
+def _windows(text: Column) -> Column:
+    """A text as pieces of ``WINDOW`` code points, so that a place in it is reached without a walk from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+
+
+def _between(windows: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``; ``end`` may lie beyond the text."""
+    first, last = F.floor(start / WINDOW).cast("int"), F.floor(end / WINDOW).cast("int")
+    piece = lambda i: F.coalesce(F.get(windows, i), F.lit(""))
+    inner = F.array_join(F.slice(windows, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(
+        first == last, F.substring(piece(first), start % WINDOW + 1, end - start)
+    ).otherwise(F.concat(F.substring(piece(first), start % WINDOW + 1, F.lit(WINDOW)), inner,
+                         F.substring(piece(last), F.lit(1), end % WINDOW)))
+
+
+def _chunks(values: Column) -> Column:
+    """An array as an array of arrays of ``CHUNK`` elements."""
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(CHUNK))
+    return F.transform(starts, lambda i: F.slice(values, i, F.lit(CHUNK)))
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of all lengths up to each: within chunks, then over chunks, so no long array is copied for each element."""
+    none = F.array().cast("array<int>")
+    last = lambda sums: F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0))
+    within = lambda chunk: F.aggregate(chunk, none, lambda acc, n: F.concat(acc, F.array(last(acc) + n)))
+    return _let(F.transform(_chunks(lengths), within), lambda sums: _let(
+        within(F.transform(sums, last)), lambda ends: F.flatten(F.zip_with(
+            sums, ends, lambda own, end: F.transform(own, lambda n: n + end - last(own))))))
+
+
+def _spans(text: Column, windows: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind, in code points, in order."""
     def scored(m: Column) -> Column:
         around = F.concat(
-            F.substring(text, F.greatest(F.lit(1), m["start"] + 1 - NEARBY), F.least(F.lit(NEARBY), m["start"])),
-            m["text"] if kind.name == "secret" else F.lit(" "), F.substring(text, m["end"] + 1, F.lit(NEARBY)))
+            _between(windows, F.greatest(F.lit(0), m["start"] - NEARBY), m["start"]),
+            m["text"] if kind.name == "secret" else F.lit(" "), _between(windows, m["end"], m["end"] + NEARBY))
         return F.lit(kind.score) + F.when(around.rlike(f"(?i){kind.context}"), kind.bonus).otherwise(0.0)
 
     def placed(found: Column) -> Column:
-        # The parts between matches tell where each match starts: lengths are summed along the array.
+        # The parts between matches tell where each match starts.
         gaps = F.transform(F.split(text, kind.pattern, -1), lambda x: F.length(x))
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found,
-                           lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("n"), m.alias("text")))
-        empty = F.array().cast("array<struct<start: int, end: int, text: string>>")
-        return F.aggregate(
-            pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-            lambda acc, p: F.struct(
-                (acc["at"] + p["gap"] + p["n"]).alias("at"),
-                F.concat(acc["spans"], F.array(F.struct(
-                    (acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["n"]).alias("end"),
-                    p["text"].alias("text")))).alias("spans")),
-            lambda acc: acc["spans"])
+        steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: g + F.length(m))
+        return F.zip_with(_running(steps), found, lambda end, m: F.struct(
+            (end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")))
 
     def confirmed(found: Column) -> Column:
         spans = placed(found)
@@ -124,7 +154,9 @@ def _spans(text: Column, kind: Kind) -> Column:
 
 def spans_column(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
     """All spans of a text, by kind in the order of the kinds, then by start."""
-    return F.concat(*[_spans(text, k) for k in kinds])
+    anything = reduce(lambda a, b: a | b, [k.trigger(text) for k in kinds])
+    return F.when(anything, _let(_windows(text), lambda w: F.concat(*[_spans(text, w, k) for k in kinds]))).otherwise(
+        F.array().cast(SPAN))
 
 
 def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -144,33 +176,41 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
     Overlapping spans are replaced by one mark of the first. Texts without spans, null ones
     too, stay as they are. ``n_chars``, where present, follows the new text.
     """
+    mark = "struct<at: int, marks: array<array<struct<from: int, to: int, kind: string>>>>"
+
+    def walk(chunk: Column, at: Column) -> Column:
+        """The marks of some spans in order, each with the text before it, and where the last of them ends."""
+        return F.aggregate(
+            chunk, F.struct(at.alias("at"), F.array().cast("array<struct<from: int, to: int, kind: string>>").alias("marks")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], -s["back"]).alias("at"),
+                F.when(s["start"] < acc["at"], acc["marks"]).otherwise(F.concat(acc["marks"], F.array(F.struct(
+                    acc["at"].alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))))).alias("marks")))
+
     def rebuilt(t: Column, spans: Column) -> Column:
         by_start = F.array_sort(F.transform(spans, lambda s: F.struct(
             s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-        done = F.aggregate(
-            by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), t.alias("rest")),
-            lambda acc, s: F.when(
-                s["start"] < acc["at"],
-                F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"),
-                         F.substring(acc["rest"], F.greatest(F.lit(0), -s["back"] - acc["at"]) + 1,
-                                     F.length(acc["rest"])).alias("rest")),
-            ).otherwise(
-                F.struct((-s["back"]).alias("at"),
-                         F.concat(acc["out"], F.substring(acc["rest"], F.lit(1), s["start"] - acc["at"]),
-                                  F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-                         F.substring(acc["rest"], -s["back"] - acc["at"] + 1, F.length(acc["rest"])).alias("rest"))))
-        return F.concat(done["out"], done["rest"])
+        walked = F.aggregate(
+            _chunks(by_start), F.lit(None).cast(mark), lambda acc, chunk: _let(
+                walk(chunk, F.coalesce(acc["at"], F.lit(0))), lambda done: F.struct(done["at"].alias("at"), F.concat(
+                    F.coalesce(acc["marks"], F.array().cast("array<array<struct<from: int, to: int, kind: string>>>")),
+                    F.array(done["marks"])).alias("marks"))))
+        return _let(F.struct(_windows(t).alias("windows"), walked.alias("walked")), lambda x: F.concat(
+            F.array_join(F.transform(F.flatten(x["walked"]["marks"]), lambda m: F.concat(
+                _between(x["windows"], m["from"], m["to"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))), ""),
+            _between(x["windows"], x["walked"]["at"], F.greatest(F.length(t), x["walked"]["at"]))))
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     new = _let(spans_column(body, kinds), lambda s: F.when(F.size(s) > 0, rebuilt(body, s)))
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], new.alias("__redacted"))
+    changed = free_name("redacted", docs.columns)
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], new.alias(changed))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.coalesce("__redacted", F.col(f"`{c}`")).alias(c))
+            columns.append(F.coalesce(changed, F.col(f"`{c}`")).alias(c))
         elif c == "n_chars":
             kind = docs.schema[c].dataType
-            columns.append(F.when(F.col("__redacted").isNotNull(), F.length("__redacted").cast(kind))
+            columns.append(F.when(F.col(changed).isNotNull(), F.length(changed).cast(kind))
                            .otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))

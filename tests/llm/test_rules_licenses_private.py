@@ -13,7 +13,8 @@ from tests.llm.helpers import tricky_docs, words
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql_twins(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     found = QUERIES[name](spark, small)
     wanted = con.execute(ORACLE[name])
     names = sorted(found.columns)
