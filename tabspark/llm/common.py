@@ -16,7 +16,7 @@ SLICE_BYTES = 8 << 20
 # Bytes that a Python worker gets at a time.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-# Labelled texts above this length are not used for fitting (they are scored whole).
+# Labelled texts above this length are not used for fitting unless the caller says otherwise (they are scored whole).
 FIT_CHARS = 20_000
 
 
@@ -69,16 +69,17 @@ def held_out(key: Column, folds: int = 5) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, target: str, per_class: int, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, labels: DataFrame, target: str, per_class: int, key: str = "doc_id", text: str = "text",
+    longest: int | None = FIT_CHARS,
 ) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of at most ``per_class`` documents of each class to fit a classifier on.
 
     The sample is bounded by its parameters whatever the size of the tables: by rows and by
-    ``FIT_CHARS`` characters a text (longer ones are left out of the sample). It is chosen by a
-    hash of the key, so it does not depend on partitioning. Rows whose key is held out, null
-    labels and labels other than 0 and 1 are left out; of repeated keys the largest label
-    counts, of repeated documents and equal texts one. Weights restore the shares of the
-    classes. Only the chosen keys, a bounded number, are broadcast.
+    ``longest`` characters a text (longer ones are left out of the sample; None: any length). Its
+    members and their order are chosen by hashes of the key, so they do not depend on partitioning. Rows whose
+    key is held out, null labels and labels other than 0 and 1 are left out; of repeated keys
+    the largest label and the smallest text count, of equal texts the first key. Weights
+    restore the shares of the classes. Only the chosen keys, a bounded number, are broadcast.
     """
     known = (
         labels.select(F.col(key).cast("long").alias("k"), F.col(target).cast("int").alias("y"))
@@ -89,12 +90,12 @@ def labelled_sample(
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = known.filter("y = 0").orderBy(order, "k").limit(per_class).unionByName(
         known.filter("y = 1").orderBy(order, "k").limit(per_class))
-    found = (
-        docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-        .filter(F.length("t") <= FIT_CHARS)
-        .join(F.broadcast(chosen), "k")
-    )
-    rows = found.dropDuplicates(["k"]).dropDuplicates(["t", "y"]).orderBy(order, "k").limit(2 * per_class).collect()
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    if longest is not None:
+        texts = texts.filter(F.length("t") <= longest)
+    single = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    first = single.groupBy("t", "y").agg(F.min(F.struct(order.alias("at"), "k")).alias("first"))
+    rows = first.orderBy("first.at", "first.k").limit(2 * per_class).collect()
     y = np.array([r["y"] for r in rows], np.int64)
     weights = np.ones(len(y))
     for c in (0, 1):

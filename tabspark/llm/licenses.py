@@ -161,8 +161,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", sent
     """``doc_id, license, reusable, sentence_ids, licenses`` for every row; one projection.
 
     A known sentence counts wherever it stands as whole words inside a sentence: in wrapped
-    comments, below a copyright line, or in a sentence about the project. ``license`` is that of the first rule in order whose identifiers follow one another in
-    the document, ``licenses`` all that match, in the order of the rules. Documents without
+    comments, below a copyright line, or in a sentence about the project. ``license`` is that
+    of the first rule in order whose identifiers follow one another in the document, ``licenses`` all that match, in the order of the rules. Documents without
     a known license, null and empty ones too, have null and empty values; null keys and
     repeated rows give a row each. Texts are normalised by ASCII letters and digits.
     """

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tabspark.llm.common import WordCodes, distinct, kept_rows, labelled_sample, scored_rows
+from tabspark.llm.common import FIT_CHARS, WordCodes, distinct, kept_rows, labelled_sample, scored_rows
 
 # Hashed words, rank of the interactions, bins of each statistic.
 WORDS = 1 << 16
@@ -161,25 +161,26 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, epochs: int = 6, b
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample of labelled documents that are not held out."""
-    return fit(*labelled_sample(docs, labels, "quality", per_class))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int | None = FIT_CHARS) -> Model:
+    """Fit on a bounded sample of labelled documents that are not held out, of at most ``longest`` characters."""
+    return fit(*labelled_sample(docs, labels, "quality", per_class, longest=longest))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
-                   threshold: float = THRESHOLD) -> DataFrame:
+                   threshold: float = THRESHOLD, longest: int | None = FIT_CHARS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text.
 
     Scores use the text only: words, structure, and length as metadata. Null texts count as
     empty, which have a score too; null keys and repeated rows give a row each; without labels
     the score is 0.5. The model has a fixed size and is broadcast.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, longest))
     return scored_rows(docs, lambda texts: model.value.scores(texts), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None, per_class: int = PER_CLASS,
-              threshold: float = THRESHOLD) -> DataFrame:
+              threshold: float = THRESHOLD, longest: int | None = FIT_CHARS) -> DataFrame:
     """The rows, all columns, whose text scores at least ``threshold``; ``fit_on`` has the labelled texts."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs if fit_on is None else fit_on, labels, per_class))
+    fitted = train(docs if fit_on is None else fit_on, labels, per_class, longest)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     return kept_rows(docs, lambda texts: model.value.scores(texts) >= threshold)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabspark.llm.common import WordCodes, distinct, held_out, kept_rows, labelled_sample, slices, strings
+from tabspark.llm.common import FIT_CHARS, WordCodes, distinct, held_out, kept_rows, labelled_sample, slices, strings
 
 # Hashed features of a word, labelled documents of each class to fit on.
 FEATURES = 1 << 18
@@ -274,13 +274,13 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, rounds: int = 40,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample of labelled documents that are not held out."""
-    return fit(*labelled_sample(docs, labels, "toxic", per_class))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longest: int | None = FIT_CHARS) -> Model:
+    """Fit on a bounded sample of labelled documents that are not held out, of at most ``longest`` characters."""
+    return fit(*labelled_sample(docs, labels, "toxic", per_class, longest=longest))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD,
-             key: str = "doc_id", text: str = "text") -> DataFrame:
+             key: str = "doc_id", text: str = "text", longest: int | None = FIT_CHARS) -> DataFrame:
     """``doc_id, held_out, score, predicted, spans`` of every whole text.
 
     Words are tagged by forward-backward marginals, which are aggregated to the score; spans
@@ -290,7 +290,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
     """
     from pyspark.sql import functions as F
 
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -308,7 +308,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None, per_class: int = PER_CLASS,
-               threshold: float = THRESHOLD) -> DataFrame:
+               threshold: float = THRESHOLD, longest: int | None = FIT_CHARS) -> DataFrame:
     """The rows, all columns, whose text scores below ``threshold``; ``fit_on`` has the labelled texts."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs if fit_on is None else fit_on, labels, per_class))
+    fitted = train(docs if fit_on is None else fit_on, labels, per_class, longest)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     return kept_rows(docs, lambda texts: model.value.scores(texts) < threshold)
