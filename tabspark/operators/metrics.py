@@ -489,11 +489,10 @@ def adjusted_rand(
     both = cells.groupBy(*by).agg(
         F.sum(pairs(F.col("n"))).alias("both"), pairs(F.sum("n")).alias("all_pairs")
     )
-    rows, columns = summed(["label"], "rows"), summed(["prediction"], "columns")
-    if by:
-        joined = both.join(rows, by).join(columns, by)
-    else:
-        joined = both.withColumn("rows", rows.scalar()).withColumn("columns", columns.scalar())
+    # Groups are brought together by grouping once more, so a NULL group stays a group.
+    parts = [both, summed(["label"], "rows"), summed(["prediction"], "columns")]
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    joined = table.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("both", "all_pairs", "rows", "columns")])
     expected = F.try_divide(F.col("rows") * F.col("columns"), F.col("all_pairs"))
     top = F.col("both") - expected
     bottom = (F.col("rows") + F.col("columns")) / 2 - expected

@@ -73,7 +73,7 @@ def target_encode(spark, sf):
     counts = encoding.apply(items).groupBy(F.col("l_returnflag").alias("code")).agg(
         F.count("*").alias("n")
     )
-    return counts.join(F.broadcast(encoding.mapping(spark)), "code").select("column", "category", "code", "n")
+    return counts.join(encoding.mapping(spark), "code").select("column", "category", "code", "n")
 
 
 def standardize(spark, sf):

@@ -226,3 +226,11 @@ def test_models_rank_by_their_plain_mean(spark):
     scores = spark.createDataFrame([("a", 0, 0.900001), ("b", 0, 0.900049)], "model string, fold int, score double")
     best = M.model_comparison(scores).filter("is_best").first()
     assert best["model"] == "b"
+
+
+def test_adjusted_rand_keeps_null_groups(spark):
+    rows = [(g, float(i % 2), float(i % 2 if g else i % 3)) for g in ("a", None) for i in range(12)]
+    df = spark.createDataFrame(rows, "g string, label double, prediction double")
+    found = {r["g"]: r["value"] for r in M.adjusted_rand(df, ["g"]).collect()}
+    assert found["a"] == 1.0 and None in found and found[None] < 1.0
+    assert M.adjusted_rand(df.filter("g = 'a'")).first()["value"] == 1.0
