@@ -115,7 +115,7 @@ class Encoder:
     texts of tokenizers with another splitter are encoded in one call.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -200,13 +200,16 @@ class Encoder:
         coded = cut.flatten().dictionary_encode()
         found = list(map(self._renew().__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
         pool = np.frombuffer(b"".join(found), "u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
+        # A batch is far below 2 ** 31 ids.
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // np.int32(4)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         codes = coded.indices.to_numpy()
         each = sizes[codes]
-        ends = np.cumsum(each)
-        ids = pool[np.repeat(starts[codes] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)]
-        before = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        ends = np.cumsum(each, dtype=np.int32)
+        places = np.repeat(starts[codes] - ends + each, each)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = pool[places]
+        before = np.r_[0, ends.astype(np.int64)][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         return ids, np.diff(before)
 
 
