@@ -177,25 +177,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listed(most: int, cosine: float, shared: float, bucket: int, seed: int):
-    codes: dict[int, list[Code] | None] = {}
+def _listed(cosine: float, shared: float, bucket: int, seed: int):
+    codes: dict[tuple[int, int], list[Code] | None] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 lists: list = [None] * part.num_rows
-                dims = part.column("dim").to_numpy()
-                for d in np.unique(dims).tolist():
-                    here = np.flatnonzero(dims == d)
-                    if d not in codes:
-                        sized = filters_of(d, most, cosine, shared, bucket)
-                        codes[d] = codes_of(d, *sized, seed) if sized else None
-                    if codes[d] is None:
+                dims, sizes = part.column("dim").to_numpy(), part.column("most").to_numpy()
+                for d, most in sorted(set(zip(dims.tolist(), sizes.tolist(), strict=True))):
+                    here = np.flatnonzero((dims == d) & (sizes == most))
+                    if (d, most) not in codes:
+                        sized = filters_of(d, most, cosine, shared, bucket) if most else None
+                        codes[d, most] = codes_of(d, *sized, seed) if sized else None
+                    if codes[d, most] is None:
                         for i in here.tolist():
                             lists[i] = [0]
                         continue
-                    rows, names = exceeded(codes[d], _unit(_matrix(part.column("v").take(pa.array(here)))))
+                    rows, names = exceeded(codes[d, most], _unit(_matrix(part.column("v").take(pa.array(here)))))
                     order = np.lexsort((names, rows))
                     found = np.split(names[order], np.cumsum(np.bincount(rows, minlength=len(here)))[:-1])
                     for i, x in zip(here.tolist(), found, strict=True):
@@ -282,8 +282,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     is decoded to the filters it exceeds; vectors meet in filters, pairs are verified exactly, and a
     pair counts in its first common filter. Links below the limit never appear; a pair is
     missed only where it shares no filter (``shared`` on average at the limit, see README for
-    the measured recall). The number of filters grows with the largest label; vectors of too few
-    dimensions for filters are all in one. Full filters are cut into blocks that meet pairwise in
+    the measured recall). The filters of a label are sized by its own vectors, rounded up to a power of two; labels of
+    at most ``block`` vectors and vectors of too few dimensions need none: they meet in one filter, and nothing is missed. Full filters are cut into blocks that meet pairwise in
     tasks of their own, so no pair is dropped.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without
@@ -299,10 +299,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     good = rows.filter("sound")
     reps = materialise(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
                        .withColumn("dim", F.size("v")))
-    most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    n = F.col("count")
+    sizes = reps.groupBy("label").count().select("label", F.when(n <= block, F.lit(0)).otherwise(
+        F.pow(F.lit(2.0), F.ceil(F.log2(n)))).cast("long").alias("most"))
     kind = reps.schema["v"].dataType.simpleString()
-    listed = materialise(reps.select("rep", "label", "dim", "copies", "v").mapInArrow(
-        _listed(most, cosine, shared, bucket, seed),
+    listed = materialise(reps.join(sizes, "label").select("rep", "label", "dim", "copies", "v", "most").mapInArrow(
+        _listed(cosine, shared, bucket, seed),
         f"rep long, label long, dim int, copies long, v {kind}, caps array<long>"))
     sizes = listed.select("label", "dim", F.explode("caps").alias("cap")).groupBy("label", "dim", "cap").count()
     full = materialise(sizes.filter(F.col("count") > block).select(

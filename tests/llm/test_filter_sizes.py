@@ -49,3 +49,27 @@ def test_few_dimensions_meet_in_one_filter(spark):
     frame = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
     found = embeddings.near_vectors(frame, block=16).orderBy("vec_id").collect()
     assert [r["n_links"] for r in found] == wanted.tolist()
+
+
+def test_each_label_has_filters_of_its_own_size(spark):
+    """A label of 5,000 vectors beside one of 20: the small one is exact, the large one finds its links."""
+    rng = np.random.default_rng(9)
+
+    def close(x, cosine):
+        y = rng.standard_normal(64)
+        y -= (y @ x) * x
+        return cosine * x + math.sqrt(1 - cosine ** 2) * y / np.linalg.norm(y)
+
+    x = rng.standard_normal((5020, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 400, 2):
+        x[i + 1] = close(x[i], 0.9305)
+    for i in range(5000, 5020, 2):
+        x[i + 1] = close(x[i], 0.9301 if i % 4 else 0.9299)
+    rows = [(i, int(i >= 5000), x[i].tolist()) for i in range(5020)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").repartition(3)
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(frame).collect()}
+    small = (x[5000:] @ x[5000:].T >= 0.93).sum(axis=1) - 1
+    assert [found[i] for i in range(5000, 5020)] == small.tolist() and small.sum() == 10
+    assert sum(found[i] for i in range(0, 400)) >= 0.95 * 400
+    assert all(found[i] == 0 for i in range(400, 5000))
