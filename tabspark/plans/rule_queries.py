@@ -75,8 +75,8 @@ def leakage_by_correlation(spark, sf):
     return V.leakage_by_correlation(E.correlation_matrix(part), "p_retailprice").drop("value")
 
 
-def _review(spark, sf):
-    """Findings about three tables and all rule runs."""
+def review_data(spark, sf):
+    """Findings about the data of three tables."""
     tables = {
         "region": table(spark, sf, "region"),
         "customer": table(spark, sf, "customer"),
@@ -89,12 +89,22 @@ def _review(spark, sf):
         DataFrame.unionByName,
         [P.column_profile(df).withColumn("table", F.lit(name)) for name, df in tables.items()],
     )
+    return V.review_data(profiles)
+
+
+def review_split(spark, sf):
+    """Findings about a split of all orders, by status."""
     orders = with_split(table(spark, sf, "orders"), "o_orderkey", test_size=0.05)
     sizes = orders.groupBy(F.col("o_orderstatus").alias("subject")).agg(
         F.count_if(F.col("split") == "train").alias("train_size"),
         F.count_if(F.col("split") == "test").alias("test_size"),
         F.lit(5).alias("n_features"),
     )
+    return V.review_split(sizes)
+
+
+def review_runs(spark, sf):
+    """Findings about the scores and metrics of all rule runs."""
     metrics = saved_metrics(spark, sf)
     runs = metrics.select("run").distinct().unionByName(
         table(spark, sf, "region").select(F.col("r_name").alias("run"))
@@ -102,23 +112,16 @@ def _review(spark, sf):
     scores = saved_scores(spark, sf).withColumn("model", F.concat("run", F.col("fold") % 2))
     scores = scores.withColumn("model", F.when(F.col("run") == "perfect", "one").otherwise(F.col("model")))
     scored = scores.filter("run <> 'inverted'")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            V.review_data(profiles),
-            V.review_split(sizes),
-            V.review_training(runs, scored),
-            V.review_metrics(runs, metrics),
-        ],
-    )
+    return V.review_training(runs, scored).unionByName(V.review_metrics(runs, metrics))
 
 
 def review_findings(spark, sf):
-    return _review(spark, sf)
+    """Findings about three tables, a split and all rule runs."""
+    return reduce(DataFrame.unionByName, [part(spark, sf) for part in (review_data, review_split, review_runs)])
 
 
 def review_verdict(spark, sf):
-    findings = materialise(_review(spark, sf))
+    findings = materialise(review_findings(spark, sf))
     return V.review_verdict(findings, findings)
 
 
@@ -188,6 +191,9 @@ QUERIES = {
     "diagnose_regression": diagnose_regression,
     "run_verdict": run_verdict,
     "leakage_by_correlation": leakage_by_correlation,
+    "review_data": review_data,
+    "review_split": review_split,
+    "review_runs": review_runs,
     "review_findings": review_findings,
     "review_verdict": review_verdict,
     "tag_task_type": tag_task_type,
@@ -306,6 +312,15 @@ def _worded(findings: str) -> str:
     printf('move %s by %.4f', metric, round(threshold - value, 4)) AS recommendation FROM {findings}"""
 
 
+def _reviewed(where: str = "true") -> str:
+    cases = " ".join(f"WHEN '{rule}' THEN '{text}'" for rule, text in V.RECOMMENDATIONS.items())
+    return f"SELECT *, CASE rule {cases} END AS recommendation FROM {_REVIEW} WHERE {where}"
+
+
+_DATA_RULES = "rule IN ('few_rows', 'high_missing', 'many_categories')"
+_SPLIT_RULES = "rule IN ('small_test_set', 'few_rows_per_feature')"
+
+
 def _steps_sql() -> str:
     return f"""SELECT 'conclusion' AS section, run AS subject, concat(type, ':', metric) AS name, recommendation AS value
 FROM ({_worded(_DIAGNOSIS)})"""
@@ -327,8 +342,12 @@ UNION ALL SELECT run, 'success_criteria_not_met', 'error', 'mape', mape, 0.15 FR
     UNION ALL SELECT 'p_size', corr(p_retailprice, p_size) FROM p
     UNION ALL SELECT 'p_price_twin', corr(p_retailprice, p_price_twin) FROM p)
 SELECT 'p_retailprice' AS subject, 'leaking_feature' AS rule, 'critical' AS severity, 'data_leakage' AS category,
-    detail, 0.95::DOUBLE AS threshold FROM c WHERE abs(round(r, 4)) > 0.95""",
-    "review_findings": f"SELECT * FROM {_REVIEW}",
+    detail, 0.95::DOUBLE AS threshold, '""" + V.RECOMMENDATIONS["leaking_feature"] + """' AS recommendation
+    FROM c WHERE abs(round(r, 4)) > 0.95""",
+    "review_data": _reviewed(_DATA_RULES),
+    "review_split": _reviewed(_SPLIT_RULES),
+    "review_runs": _reviewed(f"NOT {_DATA_RULES} AND NOT {_SPLIT_RULES}"),
+    "review_findings": _reviewed(),
     "review_verdict": f"""SELECT subject, count(*) AS n_findings, count(*) FILTER (WHERE severity = 'critical') AS n_critical,
     count(*) FILTER (WHERE severity = 'error') AS n_error,
     count(*) FILTER (WHERE severity = 'critical') = 0 AS approved FROM {_REVIEW} GROUP BY subject""",
