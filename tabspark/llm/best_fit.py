@@ -20,6 +20,8 @@ from tabspark.llm.encoding import encoder
 LENGTH = 4096
 # Pieces that are packed together.
 GROUP_PIECES = 4096
+# Groups, of some MB each, that a task reads.
+GROUPS_A_TASK = 8
 # Times that groups exchange the documents of bins with room.
 ROUNDS = 8
 # A certified group gives up one of so many bins, the loosest.
@@ -228,7 +230,11 @@ def exchange(dealt: DataFrame, kind: str, groups: int, capacity: int = LENGTH, g
     for number in range(rounds):
         last = groups == 1 or number == rounds - 1
         own = F.col("pieces")[0]
-        ordered = dealt.repartition("grp").sortWithinPartitions("grp", own["doc_id"], own["start"], "bin")
+        # More partitions than the session's own only where each would hold more than some groups.
+        parts = groups // GROUPS_A_TASK
+        wide = parts > int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        grouped = dealt.repartition(parts, "grp") if wide else dealt.repartition("grp")
+        ordered = grouped.sortWithinPartitions("grp", own["doc_id"], own["start"], "bin")
         packed = materialise(ordered.mapInArrow(_pack(capacity, kind, number, group_pieces, last), _PACKED))
         tables.append(packed)
         if last:
