@@ -308,8 +308,10 @@ SELECT id, unnest(range(len(kept))) AS place, unnest(kept) AS objective FROM l""
 
 
 def _worded(findings: str) -> str:
+    steps = " ".join(f"WHEN '{kind}' THEN '{text}'" for kind, text in D.STEPS.items())
     return f"""SELECT *, printf('%s is %.4f, the limit is %.4f', metric, value, threshold) AS description,
-    printf('move %s by %.4f', metric, round(threshold - value, 4)) AS recommendation FROM {findings}"""
+    printf('%s to move %s by %.4f', CASE type {steps} ELSE 'look at the rows behind it' END, metric,
+        round(threshold - value, 4)) AS recommendation FROM {findings}"""
 
 
 def _reviewed(where: str = "true") -> str:

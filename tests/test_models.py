@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabspark.operators import metrics as M
+from tabspark.operators import rules
 from tabspark.operators.components import connected_components
 from tabspark.operators.models import catalog, isolation, train, tune
 from tabspark.operators.models.cluster import best_kmeans
@@ -142,6 +143,11 @@ def test_adjustments(name, params, issue, wanted):
     assert tune.adjust(name, params, issue)[0] == {**params, **wanted}
 
 
+def test_steps_of_the_report_are_those_of_the_loop():
+    for issue, changes in tune.ADJUSTMENTS.items():
+        assert all(parameter in rules.STEPS[issue] for parameter, _ in changes)
+
+
 def test_retrain_stops_when_acceptable(spark, linear):
     _, _, df = linear
     data = df.withColumn("label", F.col("cls"))
