@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.functions.scratch import materialise
+from tabspark.functions.scratch import materialise, release
 from tabspark.operators.components import connected_components
 
 COSINE = 0.93
@@ -320,6 +320,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     met = (placed.select("label", "dim", "cap", "at.i", "at.j", "at.side", "rep", "copies", "v", "caps")
            .groupBy("label", "dim", "cap", "i", "j").applyInArrow(_verify(cosine), "rep long, n long, b long"))
     found = materialise(met)
+    release(listed)
+    release(full)
     groups = connected_components(reps.select(F.col("rep").alias("id")).distinct(),
                                   found.filter("b is not null").select(F.col("rep").alias("a"), "b"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
