@@ -25,16 +25,21 @@ from tabspark.functions.columns import col
 from tabspark.functions.scratch import materialise
 from tabspark.operators.components import connected_components
 from tabspark.operators.models.blocks import (
-    BLOCK_ROWS,
     PIVOTS,
     assign_cells,
-    cell_radius,
+    cell_sizes,
     choose_pivots,
     compare_blocks,
-    distances,
     distinct_vectors,
+    finite_rows,
+    group_cells,
+    in_groups,
     matrix,
-    send_to_cells,
+    merge_labels,
+    pair_distances,
+    rows_per_block,
+    send_to_groups,
+    within,
 )
 
 # Neighbourhood radius, points of a dense neighbourhood, mark of noise.
@@ -117,7 +122,7 @@ def density_clusters(
 
 def density_clusters_of_vectors(
     df: DataFrame, key: str, vector: str, eps: float = EPS, min_points: int = MIN_POINTS,
-    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+    pivots: int = PIVOTS, block_rows: int | None = None,
 ) -> DataFrame:
     """``(key, cluster, is_core)`` as :func:`density_clusters`, for an array column of any length."""
     rows = df.select(col(key).alias("key"), col(vector).cast("array<double>").alias("vector"))
@@ -125,17 +130,31 @@ def density_clusters_of_vectors(
     base = materialise(distinct_vectors(whole, "key", "vector"))
     centres = choose_pivots(base, pivots)
     placed = materialise(assign_cells(base, centres))
-    radius = cell_radius(placed, len(centres))
+    radius, sizes = cell_sizes(placed, len(centres))
     reach = np.full(len(centres), eps)
+    block_rows = block_rows or rows_per_block(int(sizes.sum()), centres.shape[-1])
+    groups = group_cells(centres, sizes, block_rows)
+    placed = in_groups(placed, groups)
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "near": []})
-        near = distances(matrix(a["vector"]), matrix(b["other_vector"])) <= eps
-        return pd.DataFrame({"id": a["id"], "near": near @ b["other_weight"].to_numpy()})
+        x, y, weights = matrix(a["vector"]), matrix(b["other_vector"]), b["other_weight"].to_numpy()
+        # What is not finite is near nothing.
+        of_a, of_b = finite_rows(x), finite_rows(y)
+        weights, found = weights[of_b], np.zeros(len(of_a), np.int64)
+        for i, j, near in within(x[of_a], y[of_b], eps):
+            own = weights[j : j + near.shape[1]]
+            if (own == 1).all():
+                found[i : i + len(near)] += np.count_nonzero(near, axis=1)
+            else:
+                found[i : i + len(near)] += near @ own
+        total = np.zeros(len(a), np.int64)
+        total[of_a] = found
+        return pd.DataFrame({"id": a["id"], "near": total})
 
     counts = compare_blocks(
-        placed, send_to_cells(base, centres, radius, reach), count, "id bigint, near bigint", block_rows
+        placed, send_to_groups(base, centres, radius, reach, groups), count, "id bigint, near bigint", block_rows
     ).groupBy("id").agg((F.sum("near") >= min_points).alias("core"))
     marked = materialise(placed.join(counts, "id"))
 
@@ -145,36 +164,33 @@ def density_clusters_of_vectors(
         b = b[b["other_core"]]
         if a.empty or b.empty:
             return empty
-        d = distances(matrix(a["vector"]), matrix(b["other_vector"]))
-        near, own, names = d <= eps, a["id"].to_numpy(), b["other"].to_numpy()
-        core = a["core"].to_numpy()
-        parts = []
-        both = near[core]
-        if both.any():
-            left, right = own[core].copy(), names.copy()
-            big = np.iinfo(np.int64).max
-            while True:
-                low = np.where(both, left[:, None], big).min(axis=0)
-                new_right = np.minimum(right, low)
-                new_left = np.minimum(left, np.where(both, new_right[None, :], big).min(axis=1))
-                if (new_left == left).all() and (new_right == right).all():
-                    break
-                left, right = new_left, new_right
-            ends = np.r_[own[core], names], np.r_[left, right]
-            parts.append(pd.DataFrame({"id": ends[0], "other": ends[1], "distance": 0.0, "core": True}))
-        outside = np.flatnonzero(~core & near.any(axis=1))
-        if len(outside):
-            # Every core vector at the smallest distance may decide; blocks keep one per distance tie.
-            gap = np.where(near[outside], d[outside], np.inf).min(axis=1)
-            rows_at, at = np.nonzero((d[outside] == gap[:, None]) & near[outside])
-            parts.append(
-                pd.DataFrame({"id": own[outside][rows_at], "other": names[at],
-                              "distance": gap[rows_at], "core": False})
-            )
-        return pd.concat(parts) if parts else empty
+        x, y = matrix(a["vector"]), matrix(b["other_vector"])
+        of_a, of_b = finite_rows(x), finite_rows(y)
+        x, y = x[of_a], y[of_b]
+        own, names = a["id"].to_numpy()[of_a], b["other"].to_numpy()[of_b]
+        core = a["core"].to_numpy(bool)[of_a]
+        label, outside = np.arange(len(x) + len(y)), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for i, j, near in within(x, y, eps):
+            r, c = np.nonzero(near)
+            r, c = r + i, c + j
+            inner = core[r]
+            label = merge_labels(label, r[inner], c[inner] + len(x))
+            if not inner.all():
+                # Fewer than min_points each, as these rows are not core.
+                r, c = r[~inner], c[~inner]
+                outside.append((r, c, pair_distances(x, y, r, c)))
+        ends = np.r_[own, names]
+        at = np.flatnonzero(label != np.arange(len(label)))
+        linked = pd.DataFrame({"id": ends[at], "other": ends[label[at]], "distance": 0.0, "core": True})
+        # Every core vector at the smallest distance may decide; blocks keep one per distance tie.
+        r, c, d = (np.concatenate(part) for part in zip(*outside, strict=True))
+        gap = np.full(len(x), np.inf)
+        np.minimum.at(gap, r, d)
+        r, c, d = r[d == gap[r]], c[d == gap[r]], d[d == gap[r]]
+        return pd.concat([linked, pd.DataFrame({"id": own[r], "other": names[c], "distance": d, "core": False})])
 
     # Core vectors alone are sent: nothing else links or attracts.
-    others = send_to_cells(marked.filter("core").drop("cell", "gap"), centres, radius, reach)
+    others = send_to_groups(marked.filter("core").drop("cell", "gap"), centres, radius, reach, groups)
     found = materialise(
         compare_blocks(
             marked, others, link, "id bigint, other bigint, distance double, core boolean", block_rows,

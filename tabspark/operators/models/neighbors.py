@@ -2,8 +2,9 @@
 
 Vectors are assigned to the nearest of a fixed number of pivots. Triangle-inequality
 bounds tell which cells can hold a neighbour of a cell, so a vector is only sent
-there. Cells are cut into blocks of bounded size on both sides; a task compares two
-blocks and emits the ``k`` best per vector, never all pairs. Equal vectors are merged
+there, once for each group of near cells. Groups are cut into blocks of bounded size on both
+sides; a task compares two blocks and emits the ``k`` best per vector, never all pairs. A matrix
+product finds the few pairs that can be among the best, and these are measured exactly. Equal vectors are merged
 first, so a vector copied very often is one row with a weight.
 """
 
@@ -18,16 +19,20 @@ from pyspark.sql.window import Window
 from tabspark.functions.columns import col
 from tabspark.functions.scratch import materialise
 from tabspark.operators.models.blocks import (
-    BLOCK_ROWS,
     PIVOTS,
     assign_cells,
-    cell_radius,
+    cell_sizes,
     choose_pivots,
     compare_blocks,
     distances,
     distinct_vectors,
+    finite_rows,
+    group_cells,
+    in_groups,
     matrix,
-    send_to_cells,
+    nearest_pairs,
+    rows_per_block,
+    send_to_groups,
 )
 
 # Neighbours of the outlier factor and its guard against division by zero.
@@ -37,7 +42,7 @@ REACH_GUARD = 1e-10
 
 def nearest_neighbours(
     base: DataFrame, k: int, queries: DataFrame | None = None, pivots: int = PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(id, neighbour, distance, weight)``: the ``k`` nearest base vectors of every query.
 
@@ -49,28 +54,30 @@ def nearest_neighbours(
     centres = choose_pivots(base, pivots)
     placed = materialise(assign_cells(base, centres))
     asked = placed if itself else materialise(assign_cells(queries, centres))
-    radius, reach = _bounds(placed, asked, centres, k + 1 if itself else k)
-    sent = send_to_cells(base, centres, radius, reach)
+    radius, rows, reach = _bounds(placed, asked, centres, k + 1 if itself else k)
+    block_rows = block_rows or rows_per_block(int(rows.sum()), centres.shape[-1])
+    groups = group_cells(centres, rows, block_rows)
+    sent = send_to_groups(base, centres, radius, reach, groups)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": [], "weight": []})
         b = b.sort_values("other", kind="stable")
-        names, weights = b["other"].to_numpy(), b["other_weight"].to_numpy()
-        d = distances(matrix(a["vector"]), matrix(b["other_vector"]))
-        if itself:
-            d[a["id"].to_numpy()[:, None] == names[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(d, order, axis=1)
-        rows, places = np.nonzero(np.isfinite(found))
-        at = order[rows, places]
+        names, weights, own = b["other"].to_numpy(), b["other_weight"].to_numpy(), a["id"].to_numpy()
+        x, y = matrix(a["vector"]), matrix(b["other_vector"])
+        # What is not finite is near nothing.
+        of_a, of_b = finite_rows(x), finite_rows(y)
+        rows, at, found = nearest_pairs(
+            x[of_a], y[of_b], k, own[of_a] if itself else None, names[of_b] if itself else None
+        )
+        rows, at = of_a[rows], of_b[at]
         return pd.DataFrame(
-            {"id": a["id"].to_numpy()[rows], "neighbour": names[at], "distance": found[rows, places],
+            {"id": own[rows], "neighbour": names[at], "distance": found,
              "weight": weights[at]}
         )
 
     pairs = compare_blocks(
-        asked, sent, best, "id bigint, neighbour bigint, distance double, weight bigint", block_rows
+        in_groups(asked, groups), sent, best, "id bigint, neighbour bigint, distance double, weight bigint", block_rows
     )
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -78,9 +85,9 @@ def nearest_neighbours(
 
 def _bounds(
     placed: DataFrame, asked: DataFrame, pivots: np.ndarray, wanted: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Per cell: radius of its queries and a distance within which ``wanted`` base vectors lie."""
-    radius = cell_radius(asked, len(pivots))
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per cell: radius and number of its queries, and a distance within which ``wanted`` base vectors lie."""
+    radius, rows = cell_sizes(asked, len(pivots))
     reach = np.full(len(pivots), -np.inf)
     nearest = Window.partitionBy("cell").orderBy("gap", "id")
     first = (
@@ -94,7 +101,7 @@ def _bounds(
     for i in np.flatnonzero(np.isfinite(radius)):
         ways = np.concatenate([between[i, r["cell"]] + np.array(r["gaps"]) for r in first])
         reach[i] = np.inf if len(ways) < wanted else radius[i] + np.partition(ways, wanted - 1)[wanted - 1]
-    return radius, reach
+    return radius, rows, reach
 
 
 def _shares(neighbours: DataFrame, k: int, own: DataFrame | None) -> DataFrame:
@@ -115,7 +122,7 @@ def _shares(neighbours: DataFrame, k: int, own: DataFrame | None) -> DataFrame:
 
 def local_outlier_factor(
     df: DataFrame, key: str, vector: str, k: int = NEIGHBOURS, pivots: int = PIVOTS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``(key, lof)``: density of a row's neighbours over its own; about 1 for inliers, NULL without a vector."""
     base = materialise(distinct_vectors(df.filter(col(vector).isNotNull()), key, vector))
@@ -129,7 +136,7 @@ def local_outlier_factor(
 
 def novelty_factor(
     train: DataFrame, new: DataFrame, key: str, vector: str, k: int = NEIGHBOURS,
-    pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+    pivots: int = PIVOTS, block_rows: int | None = None,
 ) -> DataFrame:
     """``(key, lof)`` of new rows against a training table."""
     base = materialise(distinct_vectors(train.filter(col(vector).isNotNull()), key, vector))
