@@ -18,6 +18,8 @@ BINS = 12
 # Labelled documents of each class to fit on, and the score from which a document is good.
 PER_CLASS = 2000
 THRESHOLD = 0.3
+# Documents whose words are looked at together while fitting.
+FIT_DOCS = 128
 _SYMBOLS = frozenset("#*$%&|<>")
 _FLAGS = 8
 
@@ -48,9 +50,9 @@ class Features:
     stats: np.ndarray
 
 
-def features(texts: list[str]) -> Features:
-    """Words and statistics of whole texts: length, shapes, repetition, lines."""
-    codes = _codes()
+def features(texts: list[str], codes: WordCodes | None = None) -> Features:
+    """Words and statistics of whole texts: length, shapes, repetition, lines. ``codes``: not the worker's dictionary."""
+    codes = _codes() if codes is None else codes
     parts, lines = [], np.zeros((len(texts), 3))
     for i, text in enumerate(texts):
         parts.append(codes(text.split()))
@@ -76,6 +78,19 @@ def features(texts: list[str]) -> Features:
     return Features(np.cumsum(different), index, count.astype(np.float64), stats)
 
 
+def sample_features(texts: list[str]) -> Features:
+    """:func:`features` of a sample, some texts at a time, so that the driver never holds the words of all of them.
+
+    The dictionary ends with the call: the driver scores nothing.
+    """
+    codes = WordCodes(_code, np.int64)
+    parts = [features(texts[at:at + FIT_DOCS], codes) for at in range(0, max(1, len(texts)), FIT_DOCS)]
+    before = np.cumsum([0, *(len(p.index) for p in parts)])
+    return Features(np.concatenate([p.ends + at for p, at in zip(parts, before[:-1], strict=True)]),
+                    np.concatenate([p.index for p in parts]), np.concatenate([p.count for p in parts]),
+                    np.concatenate([p.stats for p in parts]))
+
+
 @dataclass
 class Model:
     """``bias + w x + 1/2 (|V x|^2 - sum |v_i|^2 x_i^2)``: linear time in the features of a document."""
@@ -117,7 +132,7 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, epochs: int = 6, b
     Without two classes the model is the constant share of label 1.
     """
     random = np.random.default_rng(seed)
-    f = features(texts)
+    f = sample_features(texts)
     width = f.stats.shape[1]
     edges = np.stack([np.quantile(f.stats[:, k], np.arange(1, BINS) / BINS) if len(texts) else np.zeros(BINS - 1)
                       for k in range(width)])

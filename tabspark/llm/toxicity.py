@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from tabspark.llm.common import FIT_CHARS, WordCodes, distinct, held_out, kept_r
 FEATURES = 1 << 18
 PER_CLASS = 1000
 THRESHOLD = 0.5
+# Documents whose features are spread out at a time while fitting.
+FIT_DOCS = 64
 # A span is reported where the marginal of a word reaches this.
 SPAN_AT = 0.5
 # A feature marks toxic words if this share of the documents that have it is toxic, if chance alone
@@ -60,21 +63,26 @@ def marginals(u: np.ndarray, first: np.ndarray, start: float, a: np.ndarray) ->
     new = np.zeros(blocks * length, bool)
     new[:n] = first
     pad = np.arange(blocks * length) >= n
-    # Message (m0, m1) -> (f00 m0 + f10 m1, f01 m0 + f11 m1); padding leaves it as it is.
-    f = np.empty((2, 2, blocks * length))
-    f[0, 0], f[1, 0] = np.where(new, 1.0, a[0, 0]), np.where(new, 1.0, a[1, 0])
-    f[0, 1], f[1, 1] = np.where(new, start, a[0, 1]) * e, np.where(new, start, a[1, 1]) * e
-    f[:, :, pad] = np.eye(2)[:, :, None]
-    # Backward, from the word after: its step seen from here; a new document leaves nothing.
-    g = np.empty_like(f)
-    g[:, :, :-1] = f[:, :, 1:]
-    g[:, :, -1] = 1.0
     after = np.r_[new[1:], True] | np.r_[pad[1:], True]
-    g[:, :, after] = 1.0
 
-    def run(steps: np.ndarray, back: bool) -> np.ndarray:
-        # steps[i, j]: from state i to j in the direction of the walk; returns the odds at every word.
-        s = np.ascontiguousarray(np.moveaxis(steps.reshape(2, 2, blocks, length), 3, 0))
+    def step(i: int, j: int, back: bool) -> np.ndarray:
+        """The factor from state i to j at every word; back: that of the word after it, seen from here."""
+        f = np.where(new, start if j else 1.0, a[i, j])
+        if j:
+            f *= e
+        f[pad] = float(i == j)
+        if back:
+            # A new document leaves nothing of what comes after.
+            f = np.r_[f[1:], 1.0]
+            f[after] = 1.0
+        return f.reshape(blocks, length)
+
+    def run(back: bool) -> np.ndarray:
+        # Message (m0, m1) -> (f00 m0 + f10 m1, f01 m0 + f11 m1); padding leaves it as it is. Walking back, the
+        # message of state i gathers over the states j of the word after it. Returns the odds at every word.
+        s = np.empty((length, 2, 2, blocks))
+        for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            s[:, j if back else i, i if back else j] = step(i, j, back).T
         order = range(length - 1, -1, -1) if back else range(length)
         p = np.repeat(np.eye(2)[:, :, None], blocks, axis=2)
         q = np.empty_like(p)
@@ -101,10 +109,8 @@ def marginals(u: np.ndarray, first: np.ndarray, start: float, a: np.ndarray) ->
             out[:, t] = m1 / np.maximum(m0, 1e-300)
         return out.ravel()[:n]
 
-    forward = run(f, False)
-    # Walking back, the message of state i gathers over the states j of the word after it.
-    backward = run(np.swapaxes(g, 0, 1), True)
-    odds = forward * backward
+    odds = run(False)
+    odds *= run(True)
     return odds / (1 + odds)
 
 
@@ -188,8 +194,12 @@ def toxic_features(doc: np.ndarray, feature: np.ndarray, y: np.ndarray) -> list[
     stands in clean documents too, or only in documents that are explained already (as
     every word of a group of copies does), is never chosen.
     """
-    pairs, _ = distinct(doc * np.int64(FEATURES) + feature)
-    doc, feature = pairs // FEATURES, pairs % FEATURES
+    pairs = doc * np.int64(FEATURES) + feature
+    pairs.sort()
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+    # Narrow numbers: these arrays are the largest of a fit.
+    doc, feature = (pairs // FEATURES).astype(np.int32), (pairs % FEATURES).astype(np.int32)
+    del pairs
     toxic = np.bincount(feature, y[doc], FEATURES)
     seen = np.bincount(feature, minlength=FEATURES)
     # So many toxic documents in a row by chance, over all features that occur often enough to try.
@@ -223,21 +233,33 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, rounds: int = 40,
     if len(set(y.tolist())) < 2:
         return model
     vocabulary: dict[str, int] = {}
-    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], np.int64) for t in texts]
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], np.int32) for t in texts]
     n = np.array([len(w) for w in words], np.int64)
-    flat, doc, ends = np.concatenate(words), np.repeat(np.arange(len(texts)), n), np.cumsum(n)
+    flat, doc, ends = np.concatenate(words), np.repeat(np.arange(len(texts), dtype=np.int32), n), np.cumsum(n)
     first = np.zeros(len(flat), bool)
     first[(ends - n)[n > 0]] = True
     lists = [word_features(w) for w in vocabulary]
     sizes = np.array([len(x) for x in lists])
-    owner, feature = np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.array(x) for x in lists])
-    cells, _ = distinct(doc * np.int64(len(lists)) + flat)
-    d, v = cells // len(lists), cells % len(lists)
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
+    feature = np.fromiter(itertools.chain.from_iterable(lists), np.int32, sizes.sum())
+    known = len(lists)
+    del lists, vocabulary
     begin = np.cumsum(sizes) - sizes
-    spread = np.repeat(begin[v] - np.r_[0, np.cumsum(sizes[v])[:-1]], sizes[v]) + np.arange(sizes[v].sum())
+    pairs = []
+    for at in range(0, len(words), FIT_DOCS):
+        # The features of some documents at a time: of all words at once they would take some hundred MB.
+        own = [distinct(w)[0] for w in words[at:at + FIT_DOCS]]
+        d, v = np.repeat(np.arange(at, at + len(own)), [len(w) for w in own]), np.concatenate(own)
+        spread = np.repeat(begin[v] - np.r_[0, np.cumsum(sizes[v])[:-1]], sizes[v]) + np.arange(sizes[v].sum())
+        pairs.append(distinct(np.repeat(d, sizes[v]) * np.int64(FEATURES) + feature[spread])[0])
+    del words
+    d, v = (np.concatenate([part(p).astype(np.int32) for p in pairs]) for part in (
+        lambda p: p // FEATURES, lambda p: p % FEATURES))
+    del pairs
     marks = np.zeros(FEATURES, bool)
-    marks[toxic_features(np.repeat(d, sizes[v]), feature[spread], y)] = True
-    marked = np.zeros(len(lists), bool)
+    marks[toxic_features(d, v, y)] = True
+    del d, v, spread
+    marked = np.zeros(known, bool)
     np.logical_or.at(marked, owner, marks[feature])
     target = (marked[flat] & (y[doc] == 1)).astype(float)
     pair_target = np.zeros((2, 2))
@@ -252,15 +274,15 @@ def fit(texts: list[str], y: np.ndarray, weights: np.ndarray, rounds: int = 40,
     model.start = 1.0
     seen, seen_b = np.full(FEATURES, 1e-4), 1e-4
     for _ in range(rounds):
-        u = model.bias + np.bincount(owner, model.weights[feature], len(lists))
+        u = model.bias + np.bincount(owner, model.weights[feature], known)
         p = marginals(u[flat], first, model.start, model.steps)
-        slope = np.bincount(flat, p - target, len(lists))
+        slope = np.bincount(flat, p - target, known)
         g = np.bincount(feature, slope[owner], FEATURES) + decay * len(flat) * model.weights
         seen += g ** 2
         seen_b += slope.sum() ** 2
         model.weights -= rate * g / np.sqrt(seen)
         model.bias -= 0.2 * rate * slope.sum() / np.sqrt(seen_b)
-    u = model.bias + np.bincount(owner, model.weights[feature], len(lists))
+    u = model.bias + np.bincount(owner, model.weights[feature], known)
     p = marginals(u[flat], first, model.start, model.steps)
     x = aggregate(ends, p)
     scale = np.array([1.0, 4.0, 1.0])
