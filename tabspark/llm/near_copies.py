@@ -1,7 +1,8 @@
-"""Near copies of documents: MinHash bands name the candidates, an exact comparison of shingles decides."""
+"""Near copies of documents: SimHash classes and MinHash bands name the candidates, an exact comparison of shingles decides."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabspark.functions.scratch import materialise, release
 from tabspark.llm.common import WordCodes, slices, strings
-from tabspark.llm.simhash import _digest, _free
+from tabspark.llm.simhash import RADIUS, SHARD, _digest, _free, fingerprint, link_forest
 from tabspark.operators.components import connected_components
 
 WORDS = 5
@@ -81,6 +82,14 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "digest", "same", "bands", "n_runs"])
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`_banded` with the SimHash fingerprint of each text."""
+    batches, again = itertools.tee(slices(batches, "text"))
+    for batch, banded in zip(batches, _banded(again), strict=True):
+        bits = np.array([fingerprint(x) for x in strings(batch.column("text"))], np.uint64)
+        yield banded.append_column("fp", pa.array(bits.view(np.int64)))
+
+
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = word_codes()
     for batch in slices(batches, "text"):
@@ -163,28 +172,42 @@ def _meetings(distinct: DataFrame, block: int, block_runs: int) -> DataFrame:
     return found
 
 
+def _classed(firsts: DataFrame, radius: int, shard: int) -> DataFrame:
+    """``same, bands, n_runs`` with one band more: the class of the document's fingerprint.
+
+    Fingerprints are looked up in the BK-trees of their shards; a class is what links within ``radius`` bits
+    lead to, so documents whose fingerprints link always meet.
+    """
+    prints = firsts.select(F.col("fp").alias("id")).distinct()
+    classes = connected_components(prints, link_forest(prints.select(F.col("id").alias("fp")), radius, shard))
+    own = F.xxhash64("component", F.lit(11))
+    return firsts.join(classes, firsts["fp"] == classes["id"]).select(
+        "same", F.concat("bands", F.array(own)).alias("bands"), "n_runs")
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), _digest(text).alias("digest"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK,
-             block_runs: int = BLOCK_RUNS) -> DataFrame:
+             block_runs: int = BLOCK_RUNS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group of near copies: the smallest key, once.
 
     Texts link when at least ``SIMILARITY`` hundredths of the distinct runs of five words of
     both are in both; groups are what links lead to. Texts of the same words meet as one before
-    anything is compared. Candidates agree in a MinHash band, and each is verified on its
-    shingles, so documents below the limit never link. Rows without a key stay only where their
+    anything is compared. Candidates have SimHash fingerprints in one class (links within ``radius``
+    bits, found by BK-trees over shards) or agree in a MinHash band, as few texts at the limit are so few bits
+    apart. Each is verified on its shingles, so documents below the limit never link. Rows without a key stay only where their
     group has no row with a key; exact repetitions of a row become one.
     """
     banded = materialise(_rows(docs, key, text).mapInArrow(
-        _banded, "doc_id long, digest long, same long, bands array<long>, n_runs long"))
+        _named, "doc_id long, digest long, same long, bands array<long>, n_runs long, fp long"))
     row: Column = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
     firsts = materialise(banded.groupBy("same").agg(F.min(row).alias("first"), F.any_value("bands").alias("bands"),
-                                                      F.any_value("n_runs").alias("n_runs")))
+                                                      F.any_value("n_runs").alias("n_runs"), F.any_value("fp").alias("fp")))
     release(banded)
-    meetings = _meetings(firsts, block, block_runs)
+    meetings = _meetings(_classed(firsts, radius, shard), block, block_runs)
     wanted = meetings.select("same").distinct().join(firsts, "same").select(
         "same", F.col("first.doc_id").alias("at"), F.col("first.digest").alias("digest"))
     texts = _rows(docs, key, text).join(wanted, "digest").filter(F.col("doc_id").eqNullSafe(F.col("at")))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tabspark.llm import near_copies
+from tabspark.llm import near_copies, simhash
 from tests.llm.helpers import components, tricky_docs, words
 
 
@@ -62,6 +62,39 @@ def test_stage_removes_planted_near_copies(spark, small):
     assert len(texts) - len(kept) >= 0.9 * len(links)
 
 
+def test_simhash_finds_near_copies_that_no_band_names(spark, small):
+    """Near copies a few bits apart that agree in no MinHash band: a phrase outweighs the words that differ."""
+    codes, texts, found = near_copies.word_codes(), {}, 0
+    for seed in range(2000):
+        rnd = random.Random(seed)
+        w = [f"s{seed}w{i}" for i in range(100)]
+        phrase = [f"s{seed}p{i}" for i in range(7)] * 200
+        copy = list(w)
+        for i in (15, 85):
+            copy[i] = f"s{seed}x{rnd.random()}"
+        a, b = (" ".join(phrase + x) for x in (w, copy))
+        bands = [near_copies.bands(near_copies.shingles(x, codes)[1]) for x in (a, b)]
+        if (bands[0] != bands[1]).all():
+            bits = simhash.fingerprint(a) ^ simhash.fingerprint(b)
+            assert near(plain_shingles(a), plain_shingles(b))
+            if bits.bit_count() <= simhash.RADIUS:
+                texts[2 * found], texts[2 * found + 1], found = a, b, found + 1
+        if found == 4:
+            break
+    assert found == 4
+    kept = {r["doc_id"] for r in corpus_pipeline.single_documents(spark, frame(spark, texts), small).collect()}
+    assert kept == {0, 2, 4, 6}
+
+
+def test_fingerprints_that_link_are_no_near_copies_below_the_limit(spark):
+    """The same phrase outweighs all else: the fingerprints link, the runs of words hardly agree, so both stay."""
+    phrase = ["one two three four five six seven"] * 300
+    texts = {i: " ".join(phrase + [f"d{i}w{k}" for k in range(40)]) for i in range(5)}
+    bits = [simhash.fingerprint(t) for t in texts.values()]
+    assert max((bits[0] ^ x).bit_count() for x in bits) <= simhash.RADIUS
+    assert {r["doc_id"] for r in near_copies.keep_one(frame(spark, texts)).collect()} == set(texts)
+
+
 def test_documents_below_the_limit_stay(spark):
     rnd = random.Random(2)
     texts = {}
