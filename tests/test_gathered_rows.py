@@ -1,0 +1,42 @@
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from tabspark.operators.models import train
+from tabspark.plans import workflow
+
+
+def table(spark, rows, parts):
+    data = spark.range(0, rows, 1, parts).select(
+        "id", (F.col("id") * 37 % 101).cast("double").alias("a"), (F.col("id") * 53 % 97).cast("double").alias("b"))
+    return data.withColumn("label", (F.col("a") + F.col("b") > 95).cast("double"))
+
+
+def test_fits_get_all_rows_in_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(train, "ROWS_A_TASK", 100)
+    data = table(spark, 250, 20).withColumn("features", array_to_vector(F.array("a", "b")))
+    found = train.gathered(data, "id")
+    assert found.rdd.getNumPartitions() == 3
+    assert found.orderBy("id").collect() == data.orderBy("id").collect()
+    for part in found.select("id").rdd.glom().collect():
+        assert [r["id"] for r in part] == sorted(r["id"] for r in part)
+    one = train.gathered(data.coalesce(1), "id")
+    assert one.rdd.getNumPartitions() == 1 and [r["id"] for r in one.collect()] == list(range(250))
+    assert train.gathered(data.limit(0), "id").count() == 0
+
+
+def test_candidates_are_compared_on_gathered_rows(spark, monkeypatch):
+    seen = []
+
+    def best(rows, *args, **kwargs):
+        seen.append((rows.rdd.getNumPartitions(), rows.count(), rows._jdf.queryExecution().logical().toString()))
+        raise train.TrainingError("seen")
+
+    monkeypatch.setattr(workflow, "train_best", best)
+    monkeypatch.setattr(train, "ROWS_A_TASK", 100)
+    try:
+        workflow.assess(table(spark, 300, 20), "id", target="label", names=["LogisticRegression"], folds=2)
+    except train.TrainingError:
+        pass
+    (parts, rows, plan), = seen
+    assert 238 <= rows <= 240 and parts <= 3
+    assert "Join" not in plan and "Window" not in plan
